@@ -76,5 +76,20 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+#: A group of more than 1/HOT_SHARE of all rows is hot: there are fewer than
+#: HOT_SHARE of them, so their summaries may be broadcast.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows joined to groups (a row for each key, with its group_size) by key. The
+    few hot groups are broadcast, so that no task gets all rows of one; the others
+    are joined by a shuffle."""
+    hot = groups.where(F.col("group_size") * HOT_SHARE > n_rows)
+    cold = groups.where(F.col("group_size") * HOT_SHARE <= n_rows)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(cold, key))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)

@@ -17,12 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ascii_lower, documents, free_name, spool
+from .common import ascii_lower, documents, free_name, join_groups, spool
 
 PROBES = 3
-#: A group of more than 1/HOT_SHARE of all rows is hot: there are fewer than
-#: HOT_SHARE of them, so their summaries may be broadcast.
-HOT_SHARE = 1000
 
 
 def digest(text: Column) -> Column:
@@ -55,17 +52,6 @@ def find_groups(keys: DataFrame) -> tuple[DataFrame, Column, int]:
     return spool(groups, "groups"), test, n
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
-    """rows joined to groups by digest. The few hot groups are broadcast, so that
-    no task gets all rows of one; the others are joined by a shuffle."""
-    hot = groups.where(F.col("group_size") * HOT_SHARE > n)
-    cold = groups.where(F.col("group_size") * HOT_SHARE <= n)
-    hot_keys = F.broadcast(hot.select("digest"))
-    return rows.join(F.broadcast(hot), "digest").unionByName(
-        rows.join(hot_keys, "digest", "left_anti").join(cold, "digest")
-    )
-
-
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     keys = spool(
@@ -78,7 +64,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = keys.where(~repeated(F.col("digest"))).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
-    shared = join_groups(keys.where(repeated(F.col("digest"))), groups, n).select(
+    shared = join_groups(keys.where(repeated(F.col("digest"))), groups, "digest", n).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "digest"
     )
     return alone.unionByName(shared).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -98,7 +84,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hashed = docs.withColumn(key, digest(F.col(text_col)))
     alone = hashed.where(~repeated(F.col(key)))
     packed = hashed.where(repeated(F.col(key))).select(F.col(key).alias("digest"), F.struct(*columns).alias("row"))
-    best = join_groups(packed, groups, n).where(F.col(f"row.{id_col}").eqNullSafe(F.col("keep.doc_id")))
+    best = join_groups(packed, groups, "digest", n).where(F.col(f"row.{id_col}").eqNullSafe(F.col("keep.doc_id")))
     once = best.where(~F.col("tied")).unionByName(best.where("tied").dropDuplicates(["digest"]))
     return alone.select(*columns).unionByName(once.select("row.*"))
 
