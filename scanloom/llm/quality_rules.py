@@ -88,7 +88,7 @@ BASE_RULES = (
 #: Rules for junk that the base rules leave: symbols stuck to the words, shouting,
 #: copied lines, and words too short or too long on average to be prose.
 MORE_RULES = (
-    Rule("symbols", lambda t: 2 * symbols(t) > F.size(words(t))),
+    Rule("symbols", lambda t: 4 * symbols(t) > F.size(words(t))),
     Rule(
         "shouting",
         lambda t: 2 * F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")) > F.length(F.regexp_replace(t, "[^\\p{L}]+", "")),
@@ -179,7 +179,7 @@ c AS (SELECT w.doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(li
       FROM w LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (2 * n_symbols > n_words)
+       NOT base_failed AND NOT (4 * n_symbols > n_words)
        AND NOT (2 * length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) > length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')))
        AND NOT (2 * n_dup_lines > n_lines)
        AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 16 AS kept
