@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, packing, quality_model, quality_rules, sharding, simhash_dedup, url_filter
+from . import exact_dedup, language_model, license_scan, mixing, packing, quality_model, quality_rules, sharding, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_source_budgets": mixing.op1_source_budgets,
     "op2_quality_classifier": quality_model.op2_quality_classifier,
     "op3_license_sentences": license_scan.op3_license_sentences,
     "op4_quality_cascade": quality_rules.op4_quality_cascade,
+    "op5_trie_language_model": language_model.op5_trie_language_model,
     "op6_simhash_groups": simhash_dedup.op6_simhash_groups,
     "op7_url_cascade": url_filter.op7_url_cascade,
     "op8_cost_packing": packing.op8_cost_packing,
