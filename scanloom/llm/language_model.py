@@ -29,7 +29,6 @@ empty table gives no rows and no model; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -48,7 +47,9 @@ END = b" "  # no word contains it
 WORDS_A_SHARD = 1 << 20
 TOKENS_A_SHARD = 1 << 22
 #: Tokens that a task looks up at a time, as words and as numbers.
-TEXT_BATCH, ID_BATCH = 1 << 20, 1 << 21
+TEXT_BATCH, ID_BATCH = 1 << 18, 1 << 21
+#: Distinct words that a task remembers.
+WORDS_HELD = 1 << 19
 STEPS_A_DECADE = 32  # of the quantised logarithms; 256 of them reach down to 1e-8
 _VALUES = np.concatenate([10.0 ** (-np.arange(255) / STEPS_A_DECADE), [0.0]])
 
@@ -104,7 +105,7 @@ class Words:
         return ef.sequence(arrays, "hash"), ef.sequence(arrays, "count")
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (self.size: unknown) and counts of sorted hashes."""
+        """Ids (self.size: unknown) and counts (0: unknown) of sorted hashes."""
         ids, counts = np.full(len(hashes), self.size, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
         shards = (hashes >> np.uint64(64 - self.bits)) if self.bits else np.zeros(len(hashes), dtype=np.uint64)
         for number, own in _spans(shards):
@@ -118,10 +119,9 @@ class Words:
         return ids, counts
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of sorted ids; 0 for the unknown."""
+        """Counts of sorted ids."""
         out = np.zeros(len(ids), dtype=np.int64)
-        known = int(np.searchsorted(ids, self.size))
-        for number, own in _spans(np.searchsorted(self.bases, ids[:known], "right") - 1):
+        for number, own in _spans(np.searchsorted(self.bases, ids, "right") - 1):
             out[own] = _differences(self._shard(number)[1], ids[own] - self.bases[number])
         return out
 
@@ -137,16 +137,20 @@ class Words:
 
 
 def _differences(cumulated: ef.Sequence, index: np.ndarray) -> np.ndarray:
-    return cumulated.get(index + 1).astype(np.int64) - cumulated.get(index).astype(np.int64)
+    """The steps of a cumulated sequence at sorted indices."""
+    both = np.union1d(index, index + 1)
+    values = cumulated.get(both).astype(np.int64)
+    return values[np.searchsorted(both, index + 1)] - values[np.searchsorted(both, index)]
 
 
 @dataclass
 class Level:
-    """Level 2 or 3: children of contexts. A pair's key is context * width + child."""
+    """Level 2 or 3: children of contexts. A pair's key is the context, shifted by
+    `bits`, and the child."""
 
     folder: str
     name: str
-    width: int
+    bits: int
     bounds: np.ndarray  # keys at which a shard ends
     bases: list[int] = field(default_factory=lambda: [0])  # per shard, of pairs; then their number
     totals: list[int] = field(default_factory=lambda: [0])
@@ -156,17 +160,18 @@ class Level:
     def _arrays(self, number: int) -> dict[str, np.ndarray]:
         return _mapped(f"{self.folder}/{self.name}-{number}")
 
-    def shards_of(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bounds, keys, "right")
-
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For sorted distinct keys: the pair's number (-1: not held), the place
-        among its context's children, its own share, and the context's g."""
+        """For keys in any order: the pair's number (-1: not held), the place among
+        its context's children, its own share, and the context's g."""
+        order = np.argsort(keys)
+        keys = keys[order]
         pair, place = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
         share, free = np.zeros(len(keys)), np.ones(len(keys))
-        width = np.uint64(self.width)
-        for number, own in _spans(self.shards_of(keys)):
-            contexts, back = np.unique(keys[own] // width, return_inverse=True)
+        bits = np.uint64(self.bits)
+        for number, own in _spans(np.searchsorted(self.bounds, keys, "right")):
+            of_key = keys[own] >> bits
+            new = np.concatenate([[True], of_key[1:] != of_key[:-1]])
+            contexts, back = of_key[new], np.cumsum(new) - 1
             start = np.zeros(len(contexts), dtype=np.int64)
             g = np.ones(len(contexts))
             if self.bases[number] < self.bases[number + 1]:
@@ -176,17 +181,21 @@ class Level:
                 start[held] = self.bases[number] + ef.sequence(arrays, "start").get(rank[held]).astype(np.int64)
                 g[held] = _VALUES[arrays["free"][rank[held]]]
                 asked = np.flatnonzero(held[back])
-                wanted = rank[back[asked]].astype(np.uint64) * width + keys[own][asked] % width
+                wanted = keys[own][asked] + ((rank[back[asked]].astype(np.uint64) - of_key[asked]) << bits)
                 found = ef.sequence(arrays, "child").find(wanted)
                 asked, found = asked[found >= 0], found[found >= 0]
                 pair[own.start + asked] = self.bases[number] + found
                 share[own.start + asked] = _VALUES[arrays["share"][found]]
-            for i in np.flatnonzero(np.isin(contexts, self._split_contexts())):
+            for i in np.flatnonzero(np.isin(contexts, self._split_contexts())) if self.split else ():
                 code, start[i] = self.split[int(contexts[i])]
                 g[i] = _VALUES[code]
             free[own] = g[back]
             place[own] = np.where(pair[own] >= 0, pair[own] - start[back], 0)
-        return pair, place, share, free
+        out = []
+        for x in (pair, place, share, free):
+            out.append(np.empty_like(x))
+            out[-1][order] = x
+        return tuple(out)
 
     def _split_contexts(self) -> np.ndarray:
         return np.fromiter(self.split, dtype=np.uint64, count=len(self.split))
@@ -220,28 +229,30 @@ class Model:
             return np.full(len(counts), 1 / (v + 1))
         return np.maximum(counts - DISCOUNT, 0) / n + DISCOUNT * v / n / (v + 1)
 
+    @property
+    def trigram_bits(self) -> int:
+        return self.bigrams.longest.bit_length()
+
     def pair_keys(self, ids: np.ndarray) -> np.ndarray:
-        return ids[:-1].astype(np.uint64) * np.uint64(self.bigrams.width) + ids[1:].astype(np.uint64)
+        ids = ids.view(np.uint64)
+        return (ids[:-1] << np.uint64(self.bigrams.bits)) | ids[1:]
 
     def trigram_keys(self, pair: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of consecutive pairs; a second pair that isn't held has a place of its own."""
-        child = np.where(pair[1:] >= 0, place[1:], self.bigrams.longest).astype(np.uint64)
-        return pair[:-1].astype(np.uint64) * np.uint64(self.bigrams.longest + 1) + child
+        child = np.where(pair[1:] >= 0, place[1:], self.bigrams.longest).view(np.uint64)
+        return (pair[:-1].view(np.uint64) << np.uint64(self.trigram_bits)) | child
 
-    def log10_probabilities(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of each token; first: whether it begins a document."""
-        distinct, back = np.unique(ids, return_inverse=True)
-        p = self.known_share(self.words.counts(distinct))[back]
+    def log10_probabilities(self, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of each token; counts: of its word, first: whether it begins a document."""
+        p = self.known_share(counts)
         if self.bigrams is None or len(ids) < 2:
             return np.log10(p)
-        keys, back = np.unique(self.pair_keys(ids), return_inverse=True)
-        pair, place, share, free = (x[back] for x in self.bigrams.lookup(keys))
+        pair, place, share, free = self.bigrams.lookup(self.pair_keys(ids))
         inside = ~first[1:]
         p[1:] = np.where(inside, free * p[1:] + share, p[1:])
         if self.trigrams is not None and len(ids) > 2:
             at = np.flatnonzero(inside[:-1] & inside[1:] & (pair[:-1] >= 0))
-            keys, back = np.unique(self.trigram_keys(pair, place)[at], return_inverse=True)
-            _, _, share, free = (x[back] for x in self.trigrams.lookup(keys))
+            _, _, share, free = self.trigrams.lookup(self.trigram_keys(pair, place)[at])
             p[at + 2] = free * p[at + 2] + share
         return np.log10(p)
 
@@ -254,24 +265,52 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+class Numbers(dict):
+    """Numbers words as they come; fresh has those that haven't been looked up."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """docs(text): key, the hash of each word as a signed number, and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        numbers, counts = Numbers(), np.zeros(0, dtype=np.int64)
+        flat: list[bytes] = []
+
+        def add() -> None:
+            nonlocal counts
+            own = np.bincount(numbers.of(flat), minlength=len(numbers))
+            own[: len(counts)] += counts
+            counts = own
+            flat.clear()
 
         def flush() -> pa.RecordBatch:
-            keys = word_hashes(list(counts)).view(np.int64)
-            out = _batch(key=pa.array(keys), n=pa.array(list(counts.values()), pa.int64()))
-            counts.clear()
+            nonlocal numbers, counts
+            out = _batch(key=pa.array(word_hashes(list(numbers)).view(np.int64)), n=pa.array(counts))
+            numbers, counts = Numbers(), np.zeros(0, dtype=np.int64)
             return out
 
         for batch in batches:
             for text in batch.column("text"):
-                counts.update(tokens(text.as_py()))
-                if len(counts) > TEXT_BATCH:
-                    yield flush()
-        if counts:
+                flat += tokens(text.as_py())
+                if len(flat) > TEXT_BATCH:
+                    add()
+                    if len(numbers) > WORDS_HELD:
+                        yield flush()
+        if flat:
+            add()
+        if numbers:
             yield flush()
 
     return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
@@ -299,34 +338,50 @@ def build_words(counts: DataFrame, folder: str) -> Words:
     return Words(folder, bits, ends[:, 0].tolist(), ends[:, 1].tolist())
 
 
+def _kind(largest: int) -> np.dtype:
+    return np.dtype("<u4" if largest < 2**32 else "<u8")
+
+
 def number_words(docs: DataFrame, words: Words) -> DataFrame:
-    """docs(doc_id, text): doc_id, held_out, n_tokens, n_known, base_score, and the
-    ids of the tokens (4 or 8 bytes each; the vocabulary's size for the unknown)."""
-    kind = np.dtype("<u4" if words.size < 2**32 - 1 else "<u8")
+    """docs(doc_id, text): doc_id, held_out, n_tokens, n_known, base_score, and of
+    its tokens the ids (the vocabulary's size for the unknown) and the counts, of 4
+    or 8 bytes each."""
+    id_kind, count_kind = _kind(words.size), _kind(words.n_tokens)
     log_all = math.log10(words.n_tokens + words.size + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         flat: list[bytes] = []
+        parts: list[np.ndarray] = []
+        held = 0
+        numbers, ids, counts = Numbers(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
         def flush() -> pa.RecordBatch:
-            distinct = list(set(flat))
-            hashes = word_hashes(distinct)
-            order = np.argsort(hashes)
-            ids, counts = words.lookup(hashes[order])
-            which = {distinct[o]: i for i, o in enumerate(order.tolist())}
-            at = np.fromiter(map(which.__getitem__, flat), dtype=np.int64, count=len(flat))
-            own = ids[at].astype(kind)
+            nonlocal numbers, ids, counts, held
+            at = np.concatenate([*parts, numbers.of(flat)])
+            if numbers.fresh:
+                hashes = word_hashes(numbers.fresh)
+                order = np.argsort(hashes)
+                ids, counts = np.concatenate([ids, np.empty(len(order), np.int64)]), np.concatenate([counts, np.empty(len(order), np.int64)])
+                place = len(ids) - len(order) + order
+                ids[place], counts[place] = words.lookup(hashes[order])
+                numbers.fresh.clear()
             ends = np.cumsum([n for *_, n in rows])
             begins = np.concatenate([[0], ends[:-1]])
+            found, own = counts[at], ids[at].astype(id_kind)
             base = np.add.reduceat((np.log10(counts + 1.0) - log_all)[at], begins)
-            known = np.add.reduceat((counts > 0).astype(np.int64)[at], begins)
+            known = np.add.reduceat((found > 0).astype(np.int64), begins)
+            found = found.astype(count_kind)
+            cut = lambda x: pa.array([x[b:e].tobytes() for b, e in zip(begins, ends, strict=True)], pa.binary())
             out = _batch(
                 doc_id=pa.array([r[0] for r in rows], doc_id_type), held_out=pa.array([r[1] for r in rows], pa.bool_()),
                 n_tokens=pa.array([r[2] for r in rows], pa.int64()), n_known=pa.array(known), base_score=pa.array(base),
-                ids=pa.array([own[b:e].tobytes() for b, e in zip(begins, ends, strict=True)], pa.binary()),
+                ids=cut(own), counts=cut(found),
             )
-            rows.clear(), flat.clear()
+            rows.clear(), flat.clear(), parts.clear()
+            held = 0
+            if len(numbers) > WORDS_HELD:
+                numbers, ids, counts = Numbers(), ids[:0], counts[:0]
             return out
 
         for batch in batches:
@@ -335,38 +390,42 @@ def number_words(docs: DataFrame, words: Words) -> DataFrame:
                 own = tokens(text.as_py())
                 rows.append((doc_id.as_py(), held_out.as_py(), len(own)))
                 flat += own
+                held += len(own)
                 if len(flat) > TEXT_BATCH:
+                    parts.append(numbers.of(flat))
+                    flat.clear()
+                if held > ID_BATCH:
                     yield flush()
         if rows:
             yield flush()
 
     narrow = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
-    return narrow.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, ids binary")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, ids binary, counts binary"
+    return narrow.mapInArrow(run, schema)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
-    """Batches with the ids of their tokens, and whether each begins a document."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Small batches, gathered up to ID_BATCH tokens."""
     held: list[pa.RecordBatch] = []
     size = 0
-
-    def give():
-        lists = [np.frombuffer(x.as_py(), dtype=kind) for b in held for x in b.column("ids")]
-        ids = np.concatenate(lists).astype(np.int64)
-        first = np.zeros(len(ids), dtype=bool)
-        first[np.concatenate([[0], np.cumsum([len(x) for x in lists])[:-1]])] = True
-        return list(held), ids, first
-
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            held.append(batch)
-            size += sum(len(x.as_buffer()) for x in batch.column("ids")) // kind.itemsize
+        for at in range(0, whole.num_rows, 64):
+            held.append(whole.slice(at, 64))
+            size += sum(len(x.as_buffer()) for x in held[-1].column("ids")) // 4
             if size > ID_BATCH:
-                yield give()
-                held.clear()
-                size = 0
+                yield held
+                held, size = [], 0
     if held:
-        yield give()
+        yield held
+
+
+def _numbers(held: list[pa.RecordBatch], column: str, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """A column of the tokens' numbers, and whether each begins a document."""
+    lists = [np.frombuffer(x.as_buffer(), dtype=kind) for b in held for x in b.column(column)]
+    flat = np.concatenate(lists).astype(np.int64)
+    first = np.zeros(len(flat), dtype=bool)
+    first[np.concatenate([[0], np.cumsum([len(x) for x in lists])[:-1]])] = True
+    return flat, first
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -384,8 +443,8 @@ def _count_keys(ids: DataFrame, kind: np.dtype, keys_of: Callable[[np.ndarray, n
     """Per task, batch and shard one row: the sorted distinct keys and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, numbers, first in _runs(batches, kind):
-            keys, counts = np.unique(keys_of(numbers, first), return_counts=True)
+        for held in _runs(batches):
+            keys, counts = np.unique(keys_of(*_numbers(held, "ids", kind)), return_counts=True)
             spans = list(_spans(np.searchsorted(bounds, keys, "right")))
             yield _batch(
                 shard=pa.array([s for s, _ in spans], pa.int32()),
@@ -414,8 +473,8 @@ def build_level(counted: DataFrame, level: Level, context_counts: Callable[[np.n
         number = table["shard"][0].as_py()
         keys, counts = _merge(table)
         keys, counts = keys[counts >= MIN_COUNT], counts[counts >= MIN_COUNT]
-        width = np.uint64(level.width)
-        contexts, start, size = np.unique(keys // width, return_index=True, return_counts=True)
+        bits = np.uint64(level.bits)
+        contexts, start, size = np.unique(keys >> bits, return_index=True, return_counts=True)
         said = []
         if len(keys):
             totals = context_counts(contexts.astype(np.int64)).astype(np.float64)
@@ -423,11 +482,11 @@ def build_level(counted: DataFrame, level: Level, context_counts: Callable[[np.n
             share = (counts - DISCOUNT) / totals[rank]
             mass = np.add.reduceat(share, start)
             cumulated = np.concatenate([[0], np.cumsum(counts)])
-            child = rank.astype(np.uint64) * width + keys % width
+            child = keys + ((rank.astype(np.uint64) - contexts[rank]) << bits)
             arrays = (
                 ef.named("context", ef.encode(contexts, int(contexts[-1]) + 1))
                 | ef.named("start", ef.encode(start, len(keys) + 1))
-                | ef.named("child", ef.encode(child, len(contexts) * level.width))
+                | ef.named("child", ef.encode(child, len(contexts) << level.bits))
                 | ef.named("count", ef.encode(cumulated, int(cumulated[-1]) + 1))
                 | {"share": quantise(share), "free": quantise(1 - mass)}
             )
@@ -452,7 +511,7 @@ def build_level(counted: DataFrame, level: Level, context_counts: Callable[[np.n
         level.bases.append(level.bases[-1] + (r.pairs if r else 0))
         level.totals.append(level.totals[-1] + (r.tokens if r else 0))
     level.longest = max([0, *(r.longest for r in stats.values()), *(sum(s for *_, s in p) for p in parts.values())])
-    cut = {int(b) // level.width for b in level.bounds}
+    cut = {int(b) >> level.bits for b in level.bounds}
     level.split = {c: (int(quantise(np.array([1 - sum(m for m, *_ in p)]))[0]), p[0][1]) for c, p in parts.items() if c in cut}
     return level
 
@@ -473,18 +532,17 @@ def train(ids: DataFrame, words: Words) -> Model:
     spark, model = ids.sparkSession, Model(words)
     if not words.n_tokens:
         return model
-    kind = np.dtype("<u4" if words.size < 2**32 - 1 else "<u8")
-    width = words.size + 1
+    kind, bits = _kind(words.size), words.size.bit_length()
     n_shards = -(-words.n_tokens // TOKENS_A_SHARD)
 
     def word_bounds() -> list[int]:
         out = []
         for i in range(1, n_shards):
             word, part = words.at_share(i / n_shards)
-            out.append(word * width + words.at_share(part)[0])  # its successors are like other words
+            out.append((word << bits) | words.at_share(part)[0])  # its successors are like other words
         return out
 
-    model.bigrams = Level(words.folder, "bigrams", width, _one_task(spark, word_bounds))
+    model.bigrams = Level(words.folder, "bigrams", bits, _one_task(spark, word_bounds))
     numbered = lambda numbers, first: model.pair_keys(numbers)[~first[1:]]
     build_level(_count_keys(ids, kind, numbered, model.bigrams.bounds), model.bigrams, words.counts)
     if not model.bigrams.bases[-1]:
@@ -494,15 +552,14 @@ def train(ids: DataFrame, words: Words) -> Model:
     n_shards = -(-bigrams.totals[-1] // TOKENS_A_SHARD)
 
     def pair_bounds() -> list[int]:
-        return [int(pair * (bigrams.longest + 1) + part * bigrams.longest) for pair, part in (bigrams.at_share(i / n_shards) for i in range(1, n_shards))]
+        return [(pair << model.trigram_bits) | int(part * bigrams.longest) for pair, part in (bigrams.at_share(i / n_shards) for i in range(1, n_shards))]
 
-    if bigrams.bases[-1] * (bigrams.longest + 1) >= 2**64:
+    if bigrams.bases[-1].bit_length() + model.trigram_bits > 64:
         raise OverflowError("too many bigrams for the keys of trigrams")
-    trigrams = Level(words.folder, "trigrams", bigrams.longest + 1, _one_task(spark, pair_bounds))
+    trigrams = Level(words.folder, "trigrams", model.trigram_bits, _one_task(spark, pair_bounds))
 
     def triples(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-        keys, back = np.unique(model.pair_keys(numbers), return_inverse=True)
-        pair, place, _, _ = (x[back] for x in bigrams.lookup(keys))
+        pair, place, _, _ = bigrams.lookup(model.pair_keys(numbers))
         held = (pair >= 0) & ~first[1:]
         return model.trigram_keys(pair, place)[held[:-1] & held[1:]]
 
@@ -512,17 +569,19 @@ def train(ids: DataFrame, words: Words) -> Model:
 
 def score(ids: DataFrame, model: Model) -> DataFrame:
     """One row per document of number_words(), with the model's score."""
-    kind = np.dtype("<u4" if model.words.size < 2**32 - 1 else "<u8")
+    id_kind, count_kind = _kind(model.words.size), _kind(model.words.n_tokens)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, numbers, first in _runs(batches, kind):
+        for held in _runs(batches):
             table = pa.Table.from_batches(held).select(names)
-            found = np.add.reduceat(model.log10_probabilities(numbers, first), np.flatnonzero(first))
+            numbers, first = _numbers(held, "ids", id_kind)
+            counts, _ = _numbers(held, "counts", count_kind)
+            found = np.add.reduceat(model.log10_probabilities(numbers, counts, first), np.flatnonzero(first))
             yield from table.append_column("score", pa.array(found)).combine_chunks().to_batches()
 
     types = dict(ids.dtypes)
-    return ids.select(*names, "ids").mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names) + ", score double")
+    return ids.select(*names, "ids", "counts").mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names) + ", score double")
 
 
 def op5_trie_language_model(spark, sf_dir: str) -> DataFrame:
