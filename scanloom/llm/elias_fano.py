@@ -66,6 +66,8 @@ class Sequence:
 
     def _decode(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices and values of the numbers in these blocks (increasing)."""
+        if len(blocks) == blocks[-1] - blocks[0] + 1:
+            return self._decode_run(int(blocks[0]), int(blocks[-1]))
         starts, ends = self.starts[blocks].astype(np.int64), self.starts[blocks + 1].astype(np.int64)
         first, length = starts >> 3, ((ends + 7) >> 3) - (starts >> 3)
         shift = np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
@@ -78,6 +80,16 @@ class Sequence:
         index = np.repeat(blocks * BLOCK - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         return index, ((place - index).astype(np.uint64) << np.uint64(self.low)) | self._lows(index)
 
+    def _decode_run(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the blocks from first to last."""
+        start, end = int(self.starts[first]), int(self.starts[last + 1])
+        ones = np.flatnonzero(np.unpackbits(self.high[start >> 3 : (end + 7) >> 3], bitorder="little"))
+        ones += start >> 3 << 3
+        lead = int(np.searchsorted(ones, start))
+        index = np.arange(first * BLOCK, min((last + 1) * BLOCK, self.n))
+        place = ones[lead : lead + len(index)]
+        return index, ((place - index).astype(np.uint64) << np.uint64(self.low)) | self._lows(index)
+
     def _each(self, blocks: np.ndarray):
         """Slices of queries with the decoded blocks they need; blocks: per query, sorted."""
         if not len(blocks):
@@ -87,7 +99,10 @@ class Sequence:
         for i in range(0, len(needed), CHUNK):
             begin = new[i]
             end = new[i + CHUNK] if i + CHUNK < len(needed) else len(blocks)
-            yield slice(begin, end), *self._decode(needed[i : i + CHUNK])
+            part = needed[i : i + CHUNK]
+            if part[-1] - part[0] < 3 * len(part):  # dense: decode the gaps as well
+                part = np.arange(part[0], part[-1] + 1)
+            yield slice(begin, end), *self._decode(part)
 
     def last_not_above(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sorted queries the index and the value of the last number that is not

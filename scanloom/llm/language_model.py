@@ -37,19 +37,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import elias_fano as ef
 from .common import documents, fresh_path, spool
 
 FOLDS, HELD_OUT = 7, 2
 MIN_COUNT, DISCOUNT = 2, 0.75
-END = b" "  # no word contains it
+END = 0  # its hash; a word has another
 WORDS_A_SHARD = 1 << 20
 TOKENS_A_SHARD = 1 << 22
-#: Tokens that a task looks up at a time, as words and as numbers.
-TEXT_BATCH, ID_BATCH = 1 << 18, 1 << 21
-#: Distinct words that a task remembers.
-WORDS_HELD = 1 << 19
+#: Bytes of text and numbered tokens that a task looks up at a time.
+TEXT_BATCH, ID_BATCH = 1 << 24, 1 << 21
+#: Distinct words that a task counts before it passes them on.
+WORDS_HELD = 1 << 20
 STEPS_A_DECADE = 32  # of the quantised logarithms; 256 of them reach down to 1e-8
 _VALUES = np.concatenate([10.0 ** (-np.arange(255) / STEPS_A_DECADE), [0.0]])
 
@@ -60,14 +61,77 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(steps, 0, 255).astype(np.uint8)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().lower().split(), END]
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+def _letters() -> np.ndarray:
+    """What each byte adds to the hash of its word: A-Z as a-z, 0 for white space."""
+    values = np.arange(1, 257, dtype=np.uint64)
+    values[65:91] += np.uint64(32)
+    values[[32, *range(9, 14)]] = 0
+    return values
+
+
+_LETTERS = _letters()
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at a time.
+HASHED = 1 << 19
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _BASE and of its inverse, modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of these bytes, and where they start. A word's hash
+    is a polynomial of its bytes, taken from prefix sums, and then mixed."""
+    value = _LETTERS[data]
+    inside = np.zeros(len(data) + 2, dtype=np.int8)
+    inside[1:-1] = value != 0
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers(1 << max(HASHED.bit_length() - 1, len(data).bit_length()))
+    value *= power[: len(data)]
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(value, out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h, starts
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, each text's words and then END, and the
+    number of tokens of each text."""
+    data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    parts, places, at = [], [], 0
+    while at < len(data):
+        end = min(at + HASHED, len(data))
+        while end < len(data) and _LETTERS[data[end]]:  # to the end of a word
+            end += 1
+        h, starts = _hash_words(data[at:end])
+        parts.append(h)
+        places.append(starts + at)
+        at = end
+    h, starts = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((parts, np.uint64), (places, np.int64)))
+    text_ends = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(starts, text_ends)
+    sizes = np.diff(upto, prepend=0) + 1
+    out = np.full(len(h) + len(texts), END, dtype=np.uint64)
+    is_word = np.ones(len(out), dtype=bool)
+    is_word[np.cumsum(sizes) - 1] = False
+    out[is_word] = h
+    return out, sizes
+
+
+def _text(scalar: pa.StringScalar) -> bytes:
+    buffer = scalar.as_buffer()
+    return b"" if buffer is None else buffer.to_pybytes()
 
 
 @lru_cache(maxsize=4096)
@@ -265,53 +329,46 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-class Numbers(dict):
-    """Numbers words as they come; fresh has those that haven't been looked up."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[new], np.add.reduceat(counts, new)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.fresh.append(word)
-        return number
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[bytes]]]:
+    """Rows without their last column, and that column's texts, up to TEXT_BATCH bytes."""
+    rows: list[tuple] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for *row, text in zip(*batch.columns, strict=True):
+            rows.append(tuple(x.as_py() for x in row))
+            texts.append(_text(text))
+            size += len(texts[-1])
+            if size > TEXT_BATCH:
+                yield rows, texts
+                rows, texts, size = [], [], 0
+    if rows:
+        yield rows, texts
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """docs(text): key, the hash of each word as a signed number, and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, counts = Numbers(), np.zeros(0, dtype=np.int64)
-        flat: list[bytes] = []
-
-        def add() -> None:
-            nonlocal counts
-            own = np.bincount(numbers.of(flat), minlength=len(numbers))
-            own[: len(counts)] += counts
-            counts = own
-            flat.clear()
-
-        def flush() -> pa.RecordBatch:
-            nonlocal numbers, counts
-            out = _batch(key=pa.array(word_hashes(list(numbers)).view(np.int64)), n=pa.array(counts))
-            numbers, counts = Numbers(), np.zeros(0, dtype=np.int64)
-            return out
-
-        for batch in batches:
-            for text in batch.column("text"):
-                flat += tokens(text.as_py())
-                if len(flat) > TEXT_BATCH:
-                    add()
-                    if len(numbers) > WORDS_HELD:
-                        yield flush()
-        if flat:
-            add()
-        if numbers:
-            yield flush()
+        keys, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        for _, texts in _texts(batches):
+            more, n = np.unique(token_hashes(texts)[0], return_counts=True)
+            keys, counts = _merged(np.concatenate([keys, more]), np.concatenate([counts, n]))
+            if len(keys) > WORDS_HELD:
+                yield _batch(key=pa.array(keys.view(np.int64)), n=pa.array(counts))
+                keys, counts = keys[:0], counts[:0]
+        if len(keys):
+            yield _batch(key=pa.array(keys.view(np.int64)), n=pa.array(counts))
 
     return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -348,56 +405,26 @@ def number_words(docs: DataFrame, words: Words) -> DataFrame:
     or 8 bytes each."""
     id_kind, count_kind = _kind(words.size), _kind(words.n_tokens)
     log_all = math.log10(words.n_tokens + words.size + 1)
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        flat: list[bytes] = []
-        parts: list[np.ndarray] = []
-        held = 0
-        numbers, ids, counts = Numbers(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-
-        def flush() -> pa.RecordBatch:
-            nonlocal numbers, ids, counts, held
-            at = np.concatenate([*parts, numbers.of(flat)])
-            if numbers.fresh:
-                hashes = word_hashes(numbers.fresh)
-                order = np.argsort(hashes)
-                ids, counts = np.concatenate([ids, np.empty(len(order), np.int64)]), np.concatenate([counts, np.empty(len(order), np.int64)])
-                place = len(ids) - len(order) + order
-                ids[place], counts[place] = words.lookup(hashes[order])
-                numbers.fresh.clear()
-            ends = np.cumsum([n for *_, n in rows])
-            begins = np.concatenate([[0], ends[:-1]])
-            found, own = counts[at], ids[at].astype(id_kind)
+        for rows, texts in _texts(batches):
+            hashes, sizes = token_hashes(texts)
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+            ids, counts = words.lookup(hashes[new])
+            at = np.empty(len(order), dtype=np.int64)
+            at[order] = np.cumsum(new) - 1
+            ends = np.cumsum(sizes)
+            begins = ends - sizes
             base = np.add.reduceat((np.log10(counts + 1.0) - log_all)[at], begins)
-            known = np.add.reduceat((found > 0).astype(np.int64), begins)
-            found = found.astype(count_kind)
+            known = np.add.reduceat((counts > 0).astype(np.int64)[at], begins)
             cut = lambda x: pa.array([x[b:e].tobytes() for b, e in zip(begins, ends, strict=True)], pa.binary())
-            out = _batch(
-                doc_id=pa.array([r[0] for r in rows], doc_id_type), held_out=pa.array([r[1] for r in rows], pa.bool_()),
-                n_tokens=pa.array([r[2] for r in rows], pa.int64()), n_known=pa.array(known), base_score=pa.array(base),
-                ids=cut(own), counts=cut(found),
+            yield _batch(
+                doc_id=pa.array([r[0] for r in rows], id_type), held_out=pa.array([r[1] for r in rows], pa.bool_()), n_tokens=pa.array(sizes),
+                n_known=pa.array(known), base_score=pa.array(base), ids=cut(ids.astype(id_kind)[at]), counts=cut(counts.astype(count_kind)[at]),
             )
-            rows.clear(), flat.clear(), parts.clear()
-            held = 0
-            if len(numbers) > WORDS_HELD:
-                numbers, ids, counts = Numbers(), ids[:0], counts[:0]
-            return out
-
-        for batch in batches:
-            doc_id_type = batch.column(0).type
-            for doc_id, held_out, text in zip(*batch.columns, strict=True):
-                own = tokens(text.as_py())
-                rows.append((doc_id.as_py(), held_out.as_py(), len(own)))
-                flat += own
-                held += len(own)
-                if len(flat) > TEXT_BATCH:
-                    parts.append(numbers.of(flat))
-                    flat.clear()
-                if held > ID_BATCH:
-                    yield flush()
-        if rows:
-            yield flush()
 
     narrow = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, ids binary, counts binary"
@@ -459,10 +486,7 @@ def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The keys of a shard and their counts over all rows."""
     keys = np.concatenate([_unpack(x.as_py()) for x in table["keys"]])
     counts = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in table["counts"]])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[new], np.add.reduceat(counts, new)
+    return _merged(keys, counts.astype(np.int64))
 
 
 def build_level(counted: DataFrame, level: Level, context_counts: Callable[[np.ndarray], np.ndarray]) -> Level:

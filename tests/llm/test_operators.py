@@ -227,7 +227,7 @@ def test_rules_do_not_depend_on_their_order(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = {r.doc_id for r in quality_rules.keep_good(docs).collect()}
     text = F.coalesce("text", F.lit(""))
-    backward = docs.where(quality_rules.cascade(list(reversed(quality_rules.BASE_RULES + quality_rules.MORE_RULES)), text))
+    backward = docs.where(quality_rules.cascade(list(reversed(quality_rules.BASE_RULES + quality_rules.MORE_RULES)), quality_rules.Text(text)))
     assert kept == {r.doc_id for r in backward.collect()}
     assert kept == {r.doc_id for r in quality_rules.quality_report(docs).where("kept").collect()}
 
@@ -238,7 +238,7 @@ def test_rules_empty(empty):
 
 # 5: language model
 def brute_model(docs):
-    texts = [(i, language_model.tokens(t)) for i, t in docs]
+    texts = [(i, [*words(lower(t)), None]) for i, t in docs]
     train = [t for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     one = Counter(w for t in train for w in t)
     two = {k: c for k, c in Counter(p for t in train for p in zip(t, t[1:], strict=False)).items() if c >= 2}
@@ -285,6 +285,16 @@ def test_language_model_equals_brute_force(spark, small, monkeypatch, shard):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, abs=0.2)
 
 
+def test_token_hashes(monkeypatch):
+    monkeypatch.setattr(language_model, "HASHED", 64)
+    texts = [*(t or "" for _, t, *_ in AWKWARD if t not in (LONG, LONG + " more")), "x" * 500 + " y", "\x00 \x00\x00 a\x00", " A a"]
+    hashes, sizes = language_model.token_hashes([t.encode() for t in texts])
+    tokens = [w for t in texts for w in (*words(lower(t)), None)]
+    assert sizes.tolist() == [len(words(t)) + 1 for t in texts] and len(tokens) == len(hashes)
+    assert len(set(zip(tokens, hashes.tolist(), strict=True))) == len(set(tokens)) == len(set(hashes.tolist()))
+    assert language_model.token_hashes([])[0].tolist() == []
+
+
 def scored(spark, docs, tmp_path):
     words_ = language_model.build_words(language_model.count_words(docs.where(~language_model.is_held_out(F.col("doc_id")))), f"file://{tmp_path}/trie")
     ids = language_model.number_words(docs, words_)
