@@ -122,9 +122,13 @@ def verify(found: DataFrame, points: DataFrame, config: Config = KITTI) -> DataF
     return joined.select("query_id", "cand_id", "rk", F.when(refused, F.lit(retrieval.NO_DISTANCE)).otherwise(F.col("d2")).alias("d2"))
 
 
-def sequence_retrieval(points: DataFrame, config: Config = KITTI, k: int = retrieval.K, exclusion: int = retrieval.EXCLUSION) -> DataFrame:
-    """From points of a sequence to verified candidates, k per query."""
+def sequence_candidates(points: DataFrame, config: Config = KITTI, k: int = retrieval.K, exclusion: int = retrieval.EXCLUSION) -> DataFrame:
+    """From points of a sequence to k candidates per query, by descriptor."""
     size = background.GRAPH_SLOTS + 2 * background.RINGS
     vectors = cut(background.dense(scan_descriptors(points, config), size).withColumnRenamed("scan_id", "id"))
-    found = retrieval.padded(retrieval.candidates(vectors, k, exclusion), vectors, k, exclusion)
-    return verify(cut(found), points, config)
+    return retrieval.padded(retrieval.candidates(vectors, k, exclusion), vectors, k, exclusion)
+
+
+def sequence_retrieval(points: DataFrame, config: Config = KITTI, k: int = retrieval.K, exclusion: int = retrieval.EXCLUSION) -> DataFrame:
+    """From points of a sequence to verified candidates, k per query."""
+    return verify(cut(sequence_candidates(points, config, k, exclusion)), points, config)

@@ -41,21 +41,24 @@ def number_of(path: str = "path") -> F.Column:
     return F.regexp_extract(path, r"(\d+)\.[^./]+$", 1).cast("bigint")
 
 
-def decode(scans: DataFrame, labels: DataFrame, config: Config = KITTI) -> DataFrame:
+def decode(scans: DataFrame, labels: DataFrame, config: Config = KITTI, only: DataFrame | None = None) -> DataFrame:
     """Two tables of files (path, content) to points, joined by the file's number.
-    Labels that the map doesn't know are 0, as is all that must not be used."""
+    Labels that the map doesn't know are 0, as is all that must not be used. only:
+    (scan_id) of the scans that are wanted."""
     a = scans.select(number_of().alias("scan_id"), F.col("content").alias("scan"))
+    if only is not None:
+        a = a.join(only, "scan_id", "left_semi")
     b = labels.select(number_of().alias("scan_id"), F.col("content").alias("labels"))
     points = a.join(b, "scan_id").select("scan_id", "scan", "labels").mapInArrow(_decode, POINTS)
     label = train_label(F.col("raw_label"), config.label_map) if config.remap else class_of(F.col("raw_label"))
     return points.withColumn("label", label)
 
 
-def read_scans(spark: SparkSession, cloud_dir: str, label_dir: str, config: Config = KITTI) -> DataFrame:
+def read_scans(spark: SparkSession, cloud_dir: str, label_dir: str, config: Config = KITTI, only: DataFrame | None = None) -> DataFrame:
     """All scans of a folder: NNNNNN.bin of float32 x, y, z, intensity and
     NNNNNN.label of uint32."""
     files = lambda path, end: spark.read.format("binaryFile").option("pathGlobFilter", f"*.{end}").load(path)
-    return decode(files(cloud_dir, "bin"), files(label_dir, "label"), config)
+    return decode(files(cloud_dir, "bin"), files(label_dir, "label"), config, only)
 
 
 def stream_scans(spark: SparkSession, cloud_dir: str, files_per_batch: int = 16) -> DataFrame:
@@ -88,6 +91,12 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     return w.select(F.col("w")[0].cast("bigint").alias("query_id"), F.col("w")[1].cast("bigint").alias("cand_id"), F.col("w")[2].cast("double").alias("d2"))
 
 
+def truth_size(path: str) -> int:
+    """The number of frames of an .npz file of true candidates."""
+    with np.load(path, allow_pickle=True) as file:
+        return len(file["arr_0" if "arr_0" in file.files else "data"])
+
+
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """An .npz file of id lists per frame (array arr_0 or data): (query_id, cand_id).
     One frame per row; the file is a driver-side list of lists, as its format is."""
