@@ -48,11 +48,11 @@ END = 0  # its hash; a word has another
 WORDS_A_SHARD = 1 << 20
 TOKENS_A_SHARD = 1 << 22
 #: Bytes of text and numbered tokens that a task looks up at a time.
-TEXT_BATCH, ID_BATCH = 1 << 23, 1 << 20
+TEXT_BATCH, ID_BATCH = 1 << 23, 1 << 21
 #: Distinct words that a task counts before it passes them on.
 WORDS_HELD = 1 << 20
 STEPS_A_DECADE = 32  # of the quantised logarithms; 256 of them reach down to 1e-8
-_VALUES = np.concatenate([10.0 ** (-np.arange(255) / STEPS_A_DECADE), [0.0]])
+_VALUES = np.concatenate([10.0 ** (-np.arange(255) / STEPS_A_DECADE), [0.0]]).astype(np.float32)
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -229,15 +229,15 @@ class Level:
         its context's children, its own share, and the context's g."""
         order = np.argsort(keys)
         keys = keys[order]
-        pair, place = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        share, free = np.zeros(len(keys)), np.ones(len(keys))
+        pair, place = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int32 if self.longest < 2**31 else np.int64)
+        share, free = np.zeros(len(keys), dtype=np.float32), np.ones(len(keys), dtype=np.float32)
         bits = np.uint64(self.bits)
         for number, own in _spans(np.searchsorted(self.bounds, keys, "right")):
             of_key = keys[own] >> bits
             new = np.concatenate([[True], of_key[1:] != of_key[:-1]])
             contexts, back = of_key[new], np.cumsum(new) - 1
             start = np.zeros(len(contexts), dtype=np.int64)
-            g = np.ones(len(contexts))
+            g = np.ones(len(contexts), dtype=np.float32)
             if self.bases[number] < self.bases[number + 1]:
                 arrays = self._arrays(number)
                 rank = ef.sequence(arrays, "context").find(contexts)
@@ -255,11 +255,14 @@ class Level:
                 g[i] = _VALUES[code]
             free[own] = g[back]
             place[own] = np.where(pair[own] >= 0, pair[own] - start[back], 0)
-        out = []
-        for x in (pair, place, share, free):
-            out.append(np.empty_like(x))
-            out[-1][order] = x
-        return tuple(out)
+        del keys
+
+        def back_in_order(x: np.ndarray) -> np.ndarray:
+            out = np.empty_like(x)
+            out[order] = x
+            return out
+
+        return back_in_order(pair), back_in_order(place), back_in_order(share), back_in_order(free)
 
     def _split_contexts(self) -> np.ndarray:
         return np.fromiter(self.split, dtype=np.uint64, count=len(self.split))
@@ -303,7 +306,7 @@ class Model:
 
     def trigram_keys(self, pair: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of consecutive pairs; a second pair that isn't held has a place of its own."""
-        child = np.where(pair[1:] >= 0, place[1:], self.bigrams.longest).view(np.uint64)
+        child = np.where(pair[1:] >= 0, place[1:], self.bigrams.longest).astype(np.uint64)
         return (pair[:-1].view(np.uint64) << np.uint64(self.trigram_bits)) | child
 
     def log10_probabilities(self, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
