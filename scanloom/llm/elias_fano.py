@@ -2,8 +2,12 @@
 
 A sequence of n sorted numbers below u keeps floor(log2(u / n)) low bits of each in
 a packed array and the rest in unary: number i sets bit (value >> low) + i. Every
-BLOCK numbers the position in the unary bits and the first value are stored, so a
-search decodes only the blocks that the queries fall into.
+BLOCK numbers the position in the unary bits and the first value are stored.
+
+Queries come sorted and in batches. Where they are dense, the blocks that they fall
+into are decoded at a stroke; where they are sparse, each is answered from the bits
+themselves: the zeros before its high part are counted off, and the low parts behind
+them are searched. So a query's cost doesn't grow with the sequence.
 """
 
 from __future__ import annotations
@@ -21,6 +25,12 @@ BLOCK = 64
 MAX_LOW = 56
 #: Blocks that are decoded at a time.
 CHUNK = 1 << 14
+#: Numbers to decode for a query from which on it is answered from the bits.
+SPARSE = 10
+WINDOW = 56  # bits that one read of eight bytes has from any bit on
+_ONES = np.uint64((1 << WINDOW) - 1)
+#: The place of the r-th one in seven bits.
+_SELECT = np.array([[([i for i in range(7) if v >> i & 1] + [7] * 7)[r] for r in range(7)] for v in range(128)], dtype=np.int64)
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -31,7 +41,7 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     at = np.arange(n, dtype=np.uint64)
     place = (values >> np.uint64(low)) + at
     total = int(place[-1]) + 1 if n else 0
-    bits = np.zeros(total + 8, dtype=np.uint8)
+    bits = np.zeros(total + 2 * 64, dtype=np.uint8)  # room to read beyond the end
     bits[place.astype(np.int64)] = 1
     packed = [np.zeros(0, dtype=np.uint8)]
     for i in range(0, n, 1 << 16):  # a multiple of eight numbers, so of whole bytes
@@ -46,6 +56,11 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     }
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at every byte, as numbers."""
+    return np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 7,), (1,))
+
+
 class Sequence:
     """A sequence read from arrays that encode() made."""
 
@@ -60,8 +75,7 @@ class Sequence:
         if not self.low:
             return np.zeros(len(index), dtype=np.uint64)
         bit = index * self.low
-        words = np.lib.stride_tricks.as_strided(self.bits[:8].view("<u8"), (len(self.bits) - 7,), (1,))  # at every byte
-        found = words[bit >> 3] >> (bit & 7).astype(np.uint64)
+        found = _words(self.bits)[bit >> 3] >> (bit & 7).astype(np.uint64)
         return found & np.uint64((1 << self.low) - 1)
 
     def _decode(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +118,64 @@ class Sequence:
                 part = np.arange(part[0], part[-1] + 1)
             yield slice(begin, end), *self._decode(part)
 
+    def _nth(self, at: np.ndarray, nth: np.ndarray, ones: bool) -> np.ndarray:
+        """The place of the nth (from 1) one or zero of the unary bits from `at` on."""
+        words, at, nth = _words(self.high), at.copy(), nth.copy()
+        window = np.empty(len(at), dtype=np.uint64)
+        open_ = np.arange(len(at))
+        last = (len(self.high) - 8) * 8
+        while len(open_):
+            p = np.minimum(at[open_], last)
+            w = (words[p >> 3] >> (p & 7).astype(np.uint64)) & _ONES
+            if not ones:
+                w ^= _ONES
+            window[open_] = w
+            count = np.bitwise_count(w).astype(np.int64)
+            open_ = open_[(more := (nth[open_] > count) & (p < last))]
+            at[open_] += WINDOW
+            nth[open_] -= count[more]
+        shift = np.zeros(len(at), dtype=np.int64)
+        for width in (28, 14, 7):
+            low = window & np.uint64((1 << width) - 1)
+            count = np.bitwise_count(low).astype(np.int64)
+            beyond = nth > count
+            nth -= np.where(beyond, count, 0)
+            window = np.where(beyond, window >> np.uint64(width), low)
+            shift += np.where(beyond, width, 0)
+        return at + shift + _SELECT[(window & np.uint64(127)).astype(np.int64), np.clip(nth - 1, 0, 6)]
+
+    def _is_sparse(self, blocks: np.ndarray) -> bool:
+        """blocks: of each query, sorted."""
+        if not len(blocks):
+            return False
+        touched = 1 + int(np.count_nonzero(blocks[1:] != blocks[:-1]))
+        span = int(blocks[-1] - blocks[0]) + 1
+        return (span if span < 3 * touched else touched) * BLOCK > SPARSE * len(blocks)
+
+    def _find_each(self, queries: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """find() of queries one by one; blocks: the block of each."""
+        start = self.starts[blocks].astype(np.int64)
+        zeros = (queries >> np.uint64(self.low)).astype(np.int64) - (start - blocks * BLOCK)  # in the block, before the high part
+        at = start.copy()
+        later = np.flatnonzero(zeros > 0)
+        at[later] = self._nth(start[later], zeros[later], False) + 1
+        low = blocks * BLOCK + (at - start) - zeros
+        limit = np.minimum((blocks + 1) * BLOCK, self.n)
+        run = self._nth(at, np.ones(len(at), dtype=np.int64), False) - at
+        high = end = np.minimum(low + run, limit)
+        wanted = queries & np.uint64((1 << self.low) - 1)
+        while len(open_ := np.flatnonzero(low < high)):
+            middle = (low[open_] + high[open_]) >> 1
+            less = self._lows(middle) < wanted[open_]
+            low[open_[less]] = middle[less] + 1
+            high = high.copy()
+            high[open_[~less]] = middle[~less]
+        found = np.full(len(queries), -1, dtype=np.int64)
+        inside = np.flatnonzero(low < end)
+        inside = inside[self._lows(low[inside]) == wanted[inside]]
+        found[inside] = low[inside]
+        return found
+
     def last_not_above(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sorted queries the index and the value of the last number that is not
         above it; index -1 where all are."""
@@ -120,12 +192,20 @@ class Sequence:
 
     def find(self, queries: np.ndarray) -> np.ndarray:
         """The index of each of the sorted queries, -1 where it is no member."""
+        if self.n:
+            blocks = np.searchsorted(self.firsts, queries, "right").astype(np.int64) - 1
+            if self._is_sparse(blocks):
+                lead = int(np.searchsorted(blocks, 0))
+                return np.concatenate([np.full(lead, -1, dtype=np.int64), self._find_each(queries[lead:], blocks[lead:])])
         index, value = self.last_not_above(queries)
         return np.where((index >= 0) & (value == queries), index, -1)
 
     def get(self, index: np.ndarray) -> np.ndarray:
         """The values at sorted indices."""
         out = np.zeros(len(index), dtype=np.uint64)
+        if self._is_sparse(index // BLOCK):
+            place = self._nth(self.starts[index // BLOCK].astype(np.int64), index % BLOCK + 1, True)
+            return ((place - index).astype(np.uint64) << np.uint64(self.low)) | self._lows(index)
         for part, ids, values in self._each(index // BLOCK):
             out[part] = values[np.searchsorted(ids, index[part])]
         return out
