@@ -57,7 +57,7 @@ def poses(spark: SparkSession, sf_dir: str, vectors_a_scan: int = 25) -> DataFra
 
 def copies(table: DataFrame, moved: DataFrame) -> DataFrame:
     """points moved by each scan's true pose, as scans COPY + number."""
-    joined = table.join(F.broadcast(moved.select(F.col("pair_id").alias("scan_id"), "truth")), "scan_id")  # a row for each scan
+    joined = table.join(moved.select(F.col("pair_id").alias("scan_id"), "truth"), "scan_id")
     new = transform(F.col("truth"), F.col("x"), F.col("y"), F.col("z"))
     own = [c for c in table.columns if c not in ("scan_id", "x", "y", "z")]
     return joined.select((F.col("scan_id") + COPY).alias("scan_id"), *[e.alias(c) for e, c in zip(new, "xyz", strict=True)], *own).select(*table.columns)

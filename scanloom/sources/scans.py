@@ -61,6 +61,14 @@ def read_scans(spark: SparkSession, cloud_dir: str, label_dir: str, config: Conf
     return decode(files(cloud_dir, "bin"), files(label_dir, "label"), config, only)
 
 
+def until_missing(points: DataFrame, first: int = 0) -> DataFrame:
+    """The rows of scans first, first + 1 ... up to the first number without a scan."""
+    ids = points.select("scan_id").where(F.col("scan_id") >= first).distinct()
+    after = ids.select((F.col("scan_id") + 1).alias("scan_id")).unionByName(points.sparkSession.range(first, first + 1).select(F.col("id").alias("scan_id")))
+    missing = after.join(ids, "scan_id", "left_anti").agg(F.min("scan_id")).scalar()
+    return points.where((F.col("scan_id") >= first) & (F.col("scan_id") < missing))
+
+
 def stream_scans(spark: SparkSession, cloud_dir: str, files_per_batch: int = 16) -> DataFrame:
     """A stream of scan files, a batch of at most so many at a time."""
     source = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.bin")

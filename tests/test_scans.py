@@ -37,6 +37,23 @@ def test_scan_files_round_trip(spark, tmp_path):
     assert all(mapped[raw] == labels.LEARNING_MAP.get(raw, 0) for raw in mapped)
 
 
+def test_sequence_ends_at_the_first_missing_scan(spark):
+    table = points(spark, [(s, 0, 0, 0, 9) for s in (0, 1, 1, 2, 4, 5)])
+    assert sorted(r.scan_id for r in scans.until_missing(table).collect()) == [0, 1, 1, 2]
+    assert sorted(r.scan_id for r in scans.until_missing(table, 4).collect()) == [4, 5]
+    assert scans.until_missing(table, 3).count() == 0
+
+
+def test_scan_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for number in range(3):
+        np.zeros((2, 4), dtype="<f4").tofile(tmp_path / "in" / f"{number:06d}.bin")
+    stream = scans.stream_scans(spark, str(tmp_path / "in"), 1).select(scans.number_of().alias("scan_id"), F.length("content").alias("n"))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 32), (1, 32), (2, 32)]
+
+
 def test_text_lists(spark, tmp_path):
     (tmp_path / "pairs.txt").write_text("1 2 1\n\n  3   4 0\n")
     (tmp_path / "poses.txt").write_text("1 2 " + " ".join(map(str, range(12))) + "\n3 4 1 2\n")
