@@ -81,14 +81,26 @@ def free_name(df: DataFrame, wish: str) -> str:
 HOT_SHARE = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_rows: int) -> DataFrame:
-    """rows joined to groups (a row for each key, with its group_size) by key. The
-    few hot groups are broadcast, so that no task gets all rows of one; the others
-    are joined by a shuffle."""
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_rows: int, how: str = "inner") -> DataFrame:
+    """rows joined to groups (a row for each key, with its group_size) by key; how:
+    inner, or left to keep rows of no group. The few hot groups are broadcast, so
+    that no task gets all rows of one; the others are joined by a shuffle."""
     hot = groups.where(F.col("group_size") * HOT_SHARE > n_rows)
     cold = groups.where(F.col("group_size") * HOT_SHARE <= n_rows)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(others.join(cold, key))
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(cold, key, how))
+
+
+def split_by_keys(rows: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose column is certainly not among keys, and the rest, told apart by a
+    Bloom filter; a null may be among them. rows isn't shuffled."""
+    from . import bloom
+
+    pages, k = bloom.pages_for(keys.count()), 4
+    cells = spool(bloom.build_from_keys(keys.where(F.col(key).isNotNull()), key, pages, k), "keys-filter")
+    mark = free_name(rows, "maybe")
+    marked = rows.withColumn(mark, F.col(column).isNull() | bloom.maybe(cells.scalar(), F.col(column), pages, k))
+    return marked.where(~F.col(mark)).drop(mark), marked.where(F.col(mark)).drop(mark)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

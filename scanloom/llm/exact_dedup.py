@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ascii_lower, documents, free_name, join_groups, spool
+from .common import ascii_lower, documents, join_groups, split_by_keys, spool
 
 PROBES = 3
 
@@ -27,6 +27,12 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256))
 
 
+def keys_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest and rid, a number of the row: all that the decision needs."""
+    number = F.monotonically_increasing_id().alias("rid")
+    return spool(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), number), "digests")
+
+
 def find_groups(keys: DataFrame) -> tuple[DataFrame, Column, int]:
     """keys(doc_id, rid, digest): groups(digest, keep (doc_id, rid), group_size, tied)
     of the possibly repeated digests, the test for those, and the number of rows.
@@ -54,12 +60,7 @@ def find_groups(keys: DataFrame) -> tuple[DataFrame, Column, int]:
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    keys = spool(
-        docs.select(
-            F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("rid")
-        ),
-        "digests",
-    )
+    keys = keys_of(docs, id_col, text_col)
     groups, repeated, n = find_groups(keys)
     alone = keys.where(~repeated(F.col("digest"))).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "digest"
@@ -71,22 +72,20 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their own columns. Rows that are certainly
-    alone are not shuffled."""
-    columns, key = docs.columns, free_name(docs, "digest")
-    keys = spool(
-        docs.select(
-            F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("rid")
-        ),
-        "digests",
-    )
+    """The rows of docs that stay, with their own columns. Texts are hashed once, for
+    the keys; after that a Bloom filter of the ids that may have to go lets all other
+    rows pass, and only the rest is hashed again and shuffled."""
+    columns = docs.columns
+    keys = keys_of(docs, id_col, text_col)
     groups, repeated, n = find_groups(keys)
-    hashed = docs.withColumn(key, digest(F.col(text_col)))
-    alone = hashed.where(~repeated(F.col(key)))
-    packed = hashed.where(repeated(F.col(key))).select(F.col(key).alias("digest"), F.struct(*columns).alias("row"))
-    best = join_groups(packed, groups, "digest", n).where(F.col(f"row.{id_col}").eqNullSafe(F.col("keep.doc_id")))
-    once = best.where(~F.col("tied")).unionByName(best.where("tied").dropDuplicates(["digest"]))
-    return alone.select(*columns).unionByName(once.select("row.*"))
+    members = join_groups(keys.where(repeated(F.col("digest"))), groups.where("group_size > 1"), "digest", n)
+    going = spool(members.where(F.col("tied") | (F.col("rid") != F.col("keep.rid"))).select("doc_id").distinct(), "going")
+    stay, asked = split_by_keys(docs, id_col, going, "doc_id")
+    packed = asked.select(digest(F.col(text_col)).alias("digest"), F.struct(*columns).alias("row"))
+    best = join_groups(packed, groups, "digest", n, "left").where(F.col("keep").isNull() | F.col(f"row.{id_col}").eqNullSafe(F.col("keep.doc_id")))
+    tied = F.coalesce(F.col("tied"), F.lit(False))
+    once = best.where(~tied).unionByName(best.where(tied).dropDuplicates(["digest"]))
+    return stay.unionByName(once.select("row.*"))
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom
-from .common import documents, free_name, join_groups, spool
+from .common import documents, join_groups, split_by_keys, spool
 from .components import components
 
 SHINGLE = 3
@@ -128,12 +127,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whose id is certainly not dropped are not shuffled."""
     groups = near_groups(docs, id_col, text_col)
     gone = spool(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
-    pages, k = bloom.pages_for(gone.count()), 4
-    cells = spool(bloom.build_from_keys(gone.where("doc_id is not null"), "doc_id", pages, k), "gone-filter")
-    mark = free_name(docs, "maybe_gone")
-    marked = docs.withColumn(mark, F.col(id_col).isNull() | bloom.maybe(cells.scalar(), F.col(id_col), pages, k))
-    stay = marked.where(~F.col(mark))
-    asked = marked.where(F.col(mark))
+    stay, asked = split_by_keys(docs, id_col, gone, "doc_id")
     other = gone.select(F.col("doc_id").alias("gone_id"))
     rest = asked.join(other, asked[id_col].eqNullSafe(other["gone_id"]), "left_anti")
     return stay.unionByName(rest).select(*docs.columns)
