@@ -74,27 +74,64 @@ def word_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, SPACE, "")).cast("bigint")
 
 
+class Text:
+    """What rules ask of a text, computed when and where it is asked."""
+
+    def __init__(self, text: Column):
+        self.text = text
+
+    def fewer_words_than(self, n: int) -> Column:
+        """Reads no further than the n-th word."""
+        return ~self.text.rlike(f"^(?:{SPACE})?(?:{WORD}{SPACE}){{{n - 1}}}{WORD}")
+
+    @property
+    def n_words(self) -> Column:
+        return F.regexp_count(self.text, F.lit(WORD)).cast("bigint")
+
+    @property
+    def word_chars(self) -> Column:
+        return word_chars(self.text)
+
+    @property
+    def n_symbols(self) -> Column:
+        return symbols(self.text)
+
+    @property
+    def n_dup_lines(self) -> Column:
+        return dup_lines(self.text)
+
+    def repeats_over(self, percent: int) -> Column:
+        """Whether over so many percent of the words lie in repeated windows."""
+        return let(words(self.text), lambda w: 100 * repeat_words(w) > percent * F.size(w))
+
+
+class Counted(Text):
+    """The same for rows that have the counts as columns."""
+
+    n_words, word_chars, n_symbols, n_dup_lines = (property(lambda self, c=c: F.col(c)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines"))
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
-    rejects: Callable[[Column], Column]  # from the text (not null)
+    rejects: Callable[[Text], Column]
 
 
 #: Rejected whatever the other rules say.
 BASE_RULES = (
-    Rule("few_words", lambda t: F.size(words(t)) < 10),
-    Rule("repeated_windows", lambda t: let(words(t), lambda w: 100 * repeat_words(w) > 20 * F.size(w))),
+    Rule("few_words", lambda t: t.fewer_words_than(10)),
+    Rule("repeated_windows", lambda t: t.repeats_over(20)),
 )
 #: Rules for junk that the base rules leave: symbols stuck to the words, shouting,
 #: copied lines, and words too short or too long on average to be prose.
 MORE_RULES = (
-    Rule("symbols", lambda t: 4 * symbols(t) > F.size(words(t))),
+    Rule("symbols", lambda t: 4 * t.n_symbols > t.n_words),
     Rule(
         "shouting",
-        lambda t: 2 * F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")) > F.length(F.regexp_replace(t, "[^\\p{L}]+", "")),
+        lambda t: 2 * F.length(F.regexp_replace(t.text, "[^\\p{Lu}]+", "")) > F.length(F.regexp_replace(t.text, "[^\\p{L}]+", "")),
     ),
-    Rule("copied_lines", lambda t: 2 * dup_lines(t) > F.size(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)))),
-    Rule("word_length", lambda t: ~(word_chars(t) / F.greatest(F.size(words(t)), F.lit(1))).between(2, 16)),
+    Rule("copied_lines", lambda t: 2 * t.n_dup_lines > F.size(F.filter(F.split(t.text, "\n", -1), lambda x: x.rlike(WORD)))),
+    Rule("word_length", lambda t: ~(t.word_chars / F.greatest(t.n_words, F.lit(1))).between(2, 16)),
 )
 
 
@@ -116,13 +153,13 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text")
     idle = min(run(F.length("text") < 0)[1] for _ in range(2))
     gain = {}
     for rule in rules:
-        rejected, first = run(rule.rejects(F.col("text")))
-        cost = min(first, run(rule.rejects(F.col("text")))[1]) - idle
+        rejected, first = run(rule.rejects(Text(F.col("text"))))
+        cost = min(first, run(rule.rejects(Text(F.col("text"))))[1]) - idle
         gain[rule.name] = (rejected + 1) / max(cost, 1e-3)
     return sorted(rules, key=lambda r: (-gain[r.name], r.name))
 
 
-def cascade(rules: Sequence[Rule], text: Column) -> Column:
+def cascade(rules: Sequence[Rule], text: Text) -> Column:
     """False from the first rule that rejects, else true."""
     verdict = None
     for rule in rules:
@@ -149,14 +186,14 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return (
         base.select("doc_id", text.alias("text"), counts.alias("c"))
         .select("doc_id", "text", "c.*", failed.alias("base_failed"))
-        .withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order_rules(docs, rules, text_col), F.col("text"))))
+        .withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order_rules(docs, rules, text_col), Counted(F.col("text")))))
         .drop("text")
     )
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = BASE_RULES + MORE_RULES) -> DataFrame:
     """The rows of docs that no rule rejects."""
-    return docs.where(cascade(order_rules(docs, rules, text_col), F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.where(cascade(order_rules(docs, rules, text_col), Text(F.coalesce(F.col(text_col), F.lit("")))))
 
 
 def op4_quality_cascade(spark, sf_dir: str) -> DataFrame:
