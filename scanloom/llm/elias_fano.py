@@ -24,7 +24,7 @@ BLOCK = 64
 #: Low bits of a number at most, so that one read of eight bytes has them all.
 MAX_LOW = 56
 #: Blocks that are decoded at a time.
-CHUNK = 1 << 14
+CHUNK = 1 << 12
 #: Numbers to decode for a query from which on it is answered from the bits.
 SPARSE = 10
 WINDOW = 56  # bits that one read of eight bytes has from any bit on

@@ -48,7 +48,7 @@ END = 0  # its hash; a word has another
 WORDS_A_SHARD = 1 << 20
 TOKENS_A_SHARD = 1 << 22
 #: Bytes of text and numbered tokens that a task looks up at a time.
-TEXT_BATCH, ID_BATCH = 1 << 23, 1 << 21
+TEXT_BATCH, ID_BATCH = 1 << 23, 3 << 19
 #: Distinct words that a task counts before it passes them on.
 WORDS_HELD = 1 << 20
 STEPS_A_DECADE = 32  # of the quantised logarithms; 256 of them reach down to 1e-8
