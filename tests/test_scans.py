@@ -223,7 +223,7 @@ def test_graph_descriptor_ignores_yaw(spark):
     rng = np.random.default_rng(4)
     rows, turned = [], []
     for i in range(8):
-        x, y = rng.uniform(-20, 20, 2)
+        x, y = rng.uniform(-20, 20, 2).tolist()
         rows.append((0, i, 1 + i % 3, x, y, 0.0))
         turned.append((0, i, 1 + i % 3, -y, x, 0.0))
     schema = "scan_id bigint, node_id int, cls int, cx double, cy double, cz double"
