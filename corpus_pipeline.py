@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import exact_dedup, mixing, packing, quality_rules, simhash_dedup
+from scanloom.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from scanloom.llm.common import spool
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,8 +26,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id."""
-    return simhash_dedup.keep_first(docs)
+    """Of each group of near copies (Jaccard similarity of five-word shingles of at
+    least 0.8) the document of the least id."""
+    return near_dedup.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

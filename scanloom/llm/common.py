@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Fixed values of the text contract: what separates words, and the letters that
 # are folded.
@@ -103,5 +106,41 @@ def split_by_keys(rows: DataFrame, column: str, keys: DataFrame, key: str) -> tu
     return marked.where(~F.col(mark)).drop(mark), marked.where(F.col(mark)).drop(mark)
 
 
+def least_of_components(nodes: DataFrame) -> DataFrame:
+    """nodes(fp, first_id, group_size, root, ...), first_id the least id of a node: with
+    component_id, the least id of the component, and keep_fp, the least node that has it.
+    A null is the least id only where there is no other."""
+    least = nodes.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("id"), "fp")).alias("keep"))
+    least = least.select("root", F.col("keep.id").alias("component_id"), F.col("keep.fp").alias("keep_fp"))
+    return nodes.join(least, "root").drop("root", "first_id")
+
+
+def documents_kept(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame, classes: DataFrame, key_of) -> DataFrame:
+    """The rows of docs that stay, exactly one of each component, whatever ids are null
+    or repeated. prints(doc_id, fp): a row for each of docs; classes: of
+    least_of_components(); key_of: fp from a text. Rows whose id is certainly that of no
+    row to drop are not shuffled."""
+    n = prints.count()
+    classes = classes.select("fp", "group_size", "component_id", "keep_fp")
+
+    def is_kept(doc_id: Column) -> Column:
+        return doc_id.eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp"))
+
+    members = spool(join_groups(prints, classes, "fp", n).select("doc_id", "fp", is_kept(F.col("doc_id")).alias("kept")), "members")
+    tied = members.where("kept").groupBy("doc_id", "fp").agg(F.count("*").alias("rows")).where("rows > 1")
+    going = spool(members.where("not kept").select("doc_id").unionByName(tied.select("doc_id")).distinct(), "going")
+    stay, asked = split_by_keys(docs, id_col, going, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([key_of(t.as_py()) for t in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys], ["row", "fp"])
+
+    packed = asked.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    keyed = packed.mapInArrow(run, StructType([packed.schema["row"], StructField("fp", LongType())]))
+    rest = join_groups(keyed, classes, "fp", n).where(is_kept(F.col(f"row.{id_col}"))).dropDuplicates(["fp"])
+    return stay.unionByName(rest.select("row.*")).select(*docs.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
