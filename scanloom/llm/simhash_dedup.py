@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, join_groups, split_by_keys, spool
+from .common import documents, documents_kept, join_groups, least_of_components, spool
 from .components import components
 
 SHINGLE = 3
@@ -104,9 +104,9 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.select("a", "b")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, fp, n_links (other fingerprints linked to its
-    own) and component_id, the least id of its component."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and fp, group_size, n_links, component_id and
+    keep_fp of each."""
     prints = spool(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = spool(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size")), "nodes")
     found = spool(links(nodes.select("fp")).distinct(), "pairs")
@@ -117,20 +117,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
         .withColumns({"n_links": F.coalesce("n_links", F.lit(0)).cast("bigint"), "root": F.coalesce("root", "fp")})
     )
-    least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = spool(classes.join(least, "root").select("fp", "group_size", "n_links", "component_id"), "classes")
+    return prints, spool(least_of_components(classes), "classes")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, fp, n_links (other fingerprints linked to its
+    own) and component_id, the least id of its component."""
+    prints, classes = _classes(docs, id_col, text_col, shingle)
     return join_groups(prints, classes, "fp", prints.count()).select("doc_id", "fp", "n_links", "component_id")
 
 
+def _signed(text: str | None) -> int:
+    return int(np.uint64(fingerprint(text)).view(np.int64))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component those with the least id. Rows
-    whose id is certainly not dropped are not shuffled."""
-    groups = near_groups(docs, id_col, text_col)
-    gone = spool(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
-    stay, asked = split_by_keys(docs, id_col, gone, "doc_id")
-    other = gone.select(F.col("doc_id").alias("gone_id"))
-    rest = asked.join(other, asked[id_col].eqNullSafe(other["gone_id"]), "left_anti")
-    return stay.unionByName(rest).select(*docs.columns)
+    """The rows of docs that stay: of each component one with the least id."""
+    prints, classes = _classes(docs, id_col, text_col, SHINGLE)
+    return documents_kept(docs, id_col, text_col, prints, classes, _signed)
 
 
 def op6_simhash_groups(spark, sf_dir: str) -> DataFrame:
