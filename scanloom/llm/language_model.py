@@ -5,9 +5,8 @@ The model interpolates absolutely discounted trigrams, bigrams and unigrams:
     p(w | u v) = max(c(uvw) - D, 0) / c(uv) + g(uv) * p(w | v),  and so on down to
     p(w)       = max(c(w) - D, 0) / N + D * V / N / (V + 1),
 
-where g gives each context's free mass to the shorter one. Bigrams and trigrams
-that occur once are left to the shorter context (MIN_COUNT, as usual; it holds at
-every size). The first two terms of a level and g are quantised to 256 steps of
+where g gives each context's free mass to the shorter one. All bigrams and trigrams
+are held, also those that occur once (MIN_COUNT). The first two terms of a level and g are quantised to 256 steps of
 their logarithm, rounded down, so that no distribution sums to over 1.
 
 The trie has three levels, each cut into shards of bounded size that are
@@ -43,7 +42,7 @@ from . import elias_fano as ef
 from .common import documents, fresh_path, spool
 
 FOLDS, HELD_OUT = 7, 2
-MIN_COUNT, DISCOUNT = 2, 0.75
+MIN_COUNT, DISCOUNT = 1, 0.75
 END = 0  # its hash; a word has another
 WORDS_A_SHARD = 1 << 20
 TOKENS_A_SHARD = 1 << 22
