@@ -5,7 +5,7 @@ positives P and unlabelled texts U and logistic loss l,
 
     p * E_P[l(+g)] + max(0, E_U[l(-g)] - p * E_P[l(-g)]).
 
-P are trusted texts (quality 1), U are texts of the web whatever their labels, and
+P are trusted texts (quality 1), U are any training texts whatever their labels, and
 p is estimated as the share of quality 1 among the labelled texts. Labels are read
 of training rows only (crc32 of the id modulo FOLDS is not 0).
 
