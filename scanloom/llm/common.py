@@ -71,6 +71,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def quoted(name: str) -> str:
+    """A column's name as one that may hold dots or spaces."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """wish, or a longer name if df already has such a column."""
     taken = {c.lower() for c in df.columns}
@@ -102,7 +112,8 @@ def split_by_keys(rows: DataFrame, column: str, keys: DataFrame, key: str) -> tu
     pages, k = bloom.pages_for(keys.count()), 4
     cells = spool(bloom.build_from_keys(keys.where(F.col(key).isNotNull()), key, pages, k), "keys-filter")
     mark = free_name(rows, "maybe")
-    marked = rows.withColumn(mark, F.col(column).isNull() | bloom.maybe(cells.scalar(), F.col(column), pages, k))
+    value = F.col(quoted(column))
+    marked = rows.withColumn(mark, value.isNull() | bloom.maybe(cells.scalar(), value, pages, k))
     return marked.where(~F.col(mark)).drop(mark), marked.where(F.col(mark)).drop(mark)
 
 
@@ -136,10 +147,10 @@ def documents_kept(docs: DataFrame, id_col: str, text_col: str, prints: DataFram
             keys = pa.array([key_of(t.as_py()) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), keys], ["row", "fp"])
 
-    packed = asked.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    packed = asked.select(whole_row(docs).alias("row"), F.col(quoted(text_col)).alias("text"))
     keyed = packed.mapInArrow(run, StructType([packed.schema["row"], StructField("fp", LongType())]))
-    rest = join_groups(keyed, classes, "fp", n).where(is_kept(F.col(f"row.{id_col}"))).dropDuplicates(["fp"])
-    return stay.unionByName(rest.select("row.*")).select(*docs.columns)
+    rest = join_groups(keyed, classes, "fp", n).where(is_kept(F.col("row")[id_col])).dropDuplicates(["fp"])
+    return stay.select(*map(quoted, docs.columns)).unionByName(rest.select("row.*"))
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

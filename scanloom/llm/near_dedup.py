@@ -1,24 +1,30 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+"""Near-duplicate documents: SimHash candidates, verified by the Jaccard similarity of
+word shingles (operator 6 as the pipeline uses it).
 
 Two documents are linked if their sets of five-word shingles (A-Z lower-cased, ASCII
 white space) have a Jaccard similarity of at least 4/5; a group is the transitive
-closure of the links. The join is exact, up to collisions of 64-bit hashes:
+closure of the links. The result is exact, up to collisions of 64-bit hashes.
 
-1. Prefixes. In any fixed order of all shingles, linked sets of n shingles share one of
+1. Fingerprints of the sets within three bits, from the segment-popcount join of
+   simhash_dedup, are candidates. At a similarity of 4/5 fingerprints differ in ten
+   bits or so, hence the other candidates:
+2. Prefixes. In any fixed order of all shingles, linked sets of n shingles share one of
    their first n - ceil(4n/5) + 1. Shingles that a sample of documents repeats come last
-   in the order, which changes the cost, not the result.
-2. A pair that meets in a prefix is dropped only if its sizes, or the places of the
-   shared shingle, rule a similarity of 4/5 out.
-3. Counts of shingles by hash modulo CELLS: their L1 distance is at most the size of the
-   sets' symmetric difference, so a larger distance than a link allows drops a pair.
-4. What is left is decided on the whole sets.
-
-Of documents that meet in a prefix first each is compared to the shortest, and after that
-only those of different groups to each other, so that a large group of near copies
-doesn't cost the square of its size.
+   in the order, which changes the cost, not the result. Of documents that meet in a
+   prefix each is compared to one of them, another for each shingle.
+3. Once these candidates are verified and their components known, documents of
+   different components that meet in a prefix are compared to each other: a large group
+   of near copies is one component by then, and costs no square of its size. Members of
+   a prefix shingle go into blocks of BLOCK, and a task gets two blocks at most.
+
+A pair is dropped early if its sizes, or the places of the shared shingle, rule a
+similarity of 4/5 out, or by counts of shingles by hash modulo COARSE or CELLS: their
+Manhattan distance is at most the size of the sets' symmetric difference. What is left
+is decided on the whole sets.
 
 Equal sets are one node of the graph. A text with fewer words than a shingle is one
-shingle, and one without words has none. Texts are read whole.
+shingle, and one without words has none; those are equal to each other. Null ids are
+representatives only where there is no other id. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -30,12 +36,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_kept, least_of_components, split_by_keys, spool
+from . import simhash_dedup
+from .common import documents_kept, join_groups, least_of_components, quoted, split_by_keys, spool
 from .components import components
 from .language_model import token_hashes
 
 SHINGLE = 5
-CELLS = 256
+CELLS, COARSE = 256, 32
+#: Documents of a shared shingle that are compared in one task, and pairs at a time.
+BLOCK, PAIRS = 1024, 1 << 20
+#: Pairs whose cells are compared at a time.
+PART = 1 << 14
 #: Documents whose shingles are counted to find the common ones, and how many are kept.
 SAMPLE, COMMON = 5000, 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -82,20 +93,31 @@ def _common(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], (len(h) - np.arange(len(h)))[order]
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles, signed."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(found), simhash_dedup.BLOCK):
+        part = found[at : at + simhash_dedup.BLOCK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0])
+
+
+def _counts(found: np.ndarray, cells: int) -> bytes:
+    """Shingles by hash modulo cells, up to 255 each."""
+    return np.minimum(np.bincount((found % np.uint64(cells)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
 def _prints(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text): doc_id, fp (the set's key), n, counts by cell, and the prefix."""
+    """docs(doc_id, text): doc_id, fp (the set's key), sim (its fingerprint), n, counts
+    by cell, and the prefix."""
     common, ranks = _common(docs, docs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, cells, prefixes = [], [], [], []
-            for text in batch.column(1):
-                found = shingles(text.as_py())
-                n = len(found)
-                keys.append(key_of(found))
-                sizes.append(n)
-                cells.append(np.minimum(np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
-                ordered = found
+            sets = [shingles(text.as_py()) for text in batch.column(1)]
+            prefixes = []
+            for found in sets:
+                n, ordered = len(found), found
                 if n and len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     rank = np.where(common[at] == found, ranks[at], 0)
@@ -103,12 +125,19 @@ def _prints(docs: DataFrame) -> DataFrame:
                 prefixes.append(ordered[: n - (4 * n + 4) // 5 + 1].view(np.int64) if n else ordered.view(np.int64))
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
             ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.binary()), pa.ListArray.from_arrays(ends, flat)],
-                ["doc_id", "fp", "n", "cells", "prefix"],
-            )
+            columns = {
+                "doc_id": batch.column(0),
+                "fp": pa.array(map(key_of, sets), pa.int64()),
+                "sim": pa.array(map(fingerprint, sets), pa.int64()),
+                "n": pa.array(map(len, sets), pa.int64()),
+                "cells": pa.array([_counts(x, CELLS) for x in sets], pa.binary()),
+                "coarse": pa.array([_counts(x, COARSE) for x in sets], pa.binary()),
+                "prefix": pa.ListArray.from_arrays(ends, flat),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint, n bigint, cells binary, prefix array<bigint>")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint, sim bigint, n bigint, cells binary, coarse binary, prefix array<bigint>"
+    return docs.mapInArrow(run, schema)
 
 
 def _may_link(x: Column, y: Column) -> Column:
@@ -119,24 +148,34 @@ def _may_link(x: Column, y: Column) -> Column:
     return (5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"])) & (9 * left >= both)
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values of equal width as rows of small numbers."""
+    return np.frombuffer(b"".join(v.as_buffer() for v in column), np.uint8).reshape(-1, width).astype(np.int16)
+
+
 def _pairs(x: Column, y: Column) -> list[Column]:
     return [F.least(x["fp"], y["fp"]).alias("a"), F.greatest(x["fp"], y["fp"]).alias("b")]
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) that are links."""
+def _not_far(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, n, x, y), n the number of shingles of both, those whose counts
+    by cell, x and y, allow a link."""
+    for batch in batches:
+        x, y = (_matrix(batch.column(i), cells) for i in (3, 4))
+        apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+        yield batch.select(["a", "b"]).filter(pa.array(9 * apart <= batch.column(2).to_numpy()))
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(v.as_buffer() for v in batch.column(i)), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (3, 4))
-            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(9 * apart <= batch.column(2).to_numpy()))
 
+def _cells_allow(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) that CELLS counts leave."""
     of_a = nodes.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("cells").alias("x"))
     of_b = nodes.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("cells").alias("y"))
     both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y")
-    left = spool(both.mapInArrow(close, "a bigint, b bigint"), "close")
+    return both.mapInArrow(lambda batches: _not_far(batches, CELLS), "a bigint, b bigint")
+
 
+def _verified(left: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of left(a, b) that are links; left is read several times."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py()) for t in batch.column(0)]
@@ -150,42 +189,96 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = spool(left.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "ends")
-    asked = split_by_keys(docs.select("text").mapInArrow(sets, "fp bigint, hashes binary"), "fp", ends, "fp")[1]
-    whole = spool(asked.groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets")
+    # one document of each set, told by its id; only those are cut into shingles again
+    ends = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    ids = spool(nodes.select("fp", "first_id").join(ends, "fp"), "ends")
+    asked = split_by_keys(docs, "doc_id", ids, "first_id")[1].select("text").mapInArrow(sets, "fp bigint, hashes binary")
+    whole = spool(asked.join(ids.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     whole_a, whole_b = (whole.select(F.col("fp").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "p"), ("b", "q")))
     return spool(left.join(whole_a, "a").join(whole_b, "b").select("a", "b", "p", "q").mapInArrow(linked, "a bigint, b bigint"), "near-links")
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that operator 6 finds: each set with one of its fingerprint, and
+    those of fingerprints within its bits."""
+    ones = spool(nodes.groupBy("sim").agg(F.min("fp").alias("one")), "sims")
+    same = nodes.select("fp", "sim").join(ones, "sim").where("fp <> one").select(F.col("one").alias("a"), F.col("fp").alias("b"))
+    found = simhash_dedup.links(ones.select(F.col("sim").alias("fp")))
+    a, b = (ones.select(F.col("sim").alias(k), F.col("one").alias(f"one_{k}")) for k in "ab")
+    near = found.join(a, "a").join(b, "b")
+    return same.unionByName(near.select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b")))
+
+
+def _within_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of members that share a shingle: the pairs of different components that
+    sizes, places and counts by cell leave."""
+    for batch in batches:
+        members = batch.column("m")
+        flat = members.flatten()
+        n, pos, fp, root, block = (flat.field(k).to_numpy() for k in ("n", "pos", "fp", "root", "block"))
+        cells = _matrix(flat.field("cells"), CELLS)
+        sizes = np.diff(members.offsets.to_numpy())
+        later = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat)) - 1  # partners behind each member
+        within = np.repeat(batch.column("within").to_numpy(zero_copy_only=False), sizes)
+        at = 0
+        while at < len(flat):
+            upto = np.cumsum(later[at : at + BLOCK])
+            end = at + max(1, int(np.searchsorted(upto, PAIRS, "right")))
+            count = later[at:end]
+            x = np.repeat(np.arange(at, at + len(count)), count)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count) + x + 1
+            both = n[x] + n[y]
+            ok = (root[x] != root[y]) & (within[x] | (block[x] != block[y]))
+            ok &= (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])) & (9 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= 4 * both)
+            x, y, both = x[ok], y[ok], both[ok]
+            _, first = np.unique(np.stack([fp[x], fp[y]]), axis=1, return_index=True)  # a pair once, however many shingles it shares
+            x, y, both = x[first], y[first], both[first]
+            near = np.concatenate([9 * np.abs(cells[x[i : i + PART]] - cells[y[i : i + PART]]).sum(axis=1, dtype=np.int64) <= both[i : i + PART] for i in range(0, len(x), PART)] or [x > 0])
+            pairs = np.stack([np.minimum(fp[x], fp[y])[near], np.maximum(fp[x], fp[y])[near]])
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            at = end
+
+
 def links(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between different sets, enough to join all that are connected."""
-    entries = prints.select("fp", "n", F.posexplode("prefix").alias("pos", "token"))
-    member = F.struct("n", "pos", "fp")
-    groups = entries.groupBy("token").agg(F.collect_set(member).alias("m")).where(F.size("m") > 1)
-    groups = spool(groups, "shared")
-    hubs = groups.select(F.array_min("m").alias("x"), F.explode("m").alias("y")).where(F.col("x.fp") != F.col("y.fp"))
-    first = spool(hubs.where(_may_link(F.col("x"), F.col("y"))).select(*_pairs(F.col("x"), F.col("y"))).distinct(), "pairs")
-    found = _verified(first, nodes, docs)
+    entries = prints.select("fp", "n", "coarse", F.posexplode("prefix").alias("pos", "token"))
+    shared = spool(entries.groupBy("token").agg(F.count("*").alias("group_size")).where("group_size > 1"), "shared")
+    met = spool(split_by_keys(entries, "token", shared, "token")[1], "met")
+    n_met = met.count()
+    # a hub of its own for each shingle, so that a document meets several others of its group
+    member = F.struct("n", "pos", "fp", "coarse")
+    hubs = met.groupBy("token").agg(F.min_by(member, F.struct(F.xxhash64("fp", "token"), "fp")).alias("x"), F.count("*").alias("group_size"))
+    both = join_groups(met, hubs.where("group_size > 1"), "token", n_met).where(F.col("x.fp") != F.col("fp")).withColumn("y", member)
+    both = both.where(_may_link(F.col("x"), F.col("y")))
+    both = both.select(*_pairs(F.col("x"), F.col("y")), (F.col("x.n") + F.col("y.n")).alias("n"), F.col("x.coarse").alias("x"), F.col("y.coarse").alias("y"))
+    first = both.mapInArrow(lambda batches: _not_far(batches, COARSE), "a bigint, b bigint")
+    first = spool(first.unionByName(_by_fingerprint(nodes)).distinct(), "pairs")
+    found = _verified(spool(_cells_allow(first, nodes), "close"), nodes, docs)
 
     roots = components(found).withColumnRenamed("node", "fp")
-    each = groups.select("token", F.explode("m").alias("m")).select("token", "m.*").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    again = each.groupBy("token").agg(F.collect_list(F.struct("n", "pos", "fp", "root")).alias("m"), F.mode("root").alias("main"))
-    # of a pair of different groups one at least isn't of the most frequent group
-    apart = again.select("m", "main", F.explode("m").alias("x")).where(F.col("x.root") != F.col("main"))
-    x, main = F.col("x"), F.col("main")
-    others = F.filter("m", lambda y: (y["root"] != x["root"]) & ((y["root"] == main) | (y["fp"] > x["fp"])) & _may_link(x, y))
-    rest = apart.select("x", F.explode(others).alias("y")).select(*_pairs(F.col("x"), F.col("y"))).distinct()
+    known = nodes.select("fp", "cells").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    each = join_groups(met.drop("coarse"), shared.select("token", "group_size"), "token", n_met).join(known, "fp")
+    blocks = F.ceil(F.col("group_size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    each = each.withColumns({"block": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    each = each.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    member = F.struct("n", "pos", "fp", "root", "block", "cells")
+    groups = each.groupBy("token", "low", "high").agg(F.collect_list(member).alias("m"), F.min("root").alias("least"), F.max("root").alias("most"))
+    apart = groups.where("least <> most").select("m", (F.col("low") == F.col("high")).alias("within"))
+    rest = apart.mapInArrow(_within_groups, "a bigint, b bigint").distinct()
     more = spool(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     return spool(found.unionByName(_verified(more, nodes, docs)), "links")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each group one with the least id."""
-    narrow = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    narrow = docs.select(docs[quoted(id_col)].alias("doc_id"), docs[quoted(text_col)].alias("text"))
     prints = spool(_prints(narrow), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size"), F.first("n").alias("n"), F.first("cells").alias("cells"))
-    nodes = spool(nodes, "nodes")
-    roots = components(links(prints, nodes, narrow))
+    firsts = [F.first(c).alias(c) for c in ("sim", "n", "cells", "coarse")]
+    nodes = spool(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size"), *firsts), "nodes")
+    once = prints.select("fp", "n", "coarse", "prefix").dropDuplicates(["fp"])
+    roots = components(links(once, nodes, narrow))
     classes = nodes.select("fp", "first_id", "group_size").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     classes = spool(least_of_components(classes.withColumn("root", F.coalesce("root", "fp"))), "classes")
     return documents_kept(docs, id_col, text_col, prints.select("doc_id", "fp"), classes, text_key)
