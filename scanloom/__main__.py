@@ -28,13 +28,20 @@ def main() -> None:
         own = sub.add_parser(name)
         for n in names:
             own.add_argument(n, type=int if n in ("scan_a", "scan_b") else str)
+        if name == "evaluate-retrieval":
+            own.add_argument("--one-percent", type=int, default=45, help="candidates that recall at one percent looks at")
+            own.add_argument("--zero-is-none", dest="zero_counts", action="store_false", help="scan 0 alone is no true candidate")
+        if name == "evaluate-poses":
+            own.add_argument("--inverted", action="store_true", help="estimates map the other way round")
     asked = parser.parse_args()
     settings = getattr(config, asked.preset)
     if asked.config:
         settings = config.load(asked.config, settings)
     spark = SparkSession.builder.appName("scanloom").getOrCreate()
     values = [getattr(asked, n) for n in arguments[asked.program]]
-    more = {} if asked.program.startswith("evaluate") else {"config": settings}
+    more = {n: getattr(asked, n) for n in ("one_percent", "zero_counts", "inverted") if hasattr(asked, n)}
+    if not asked.program.startswith("evaluate"):
+        more["config"] = settings
     found = getattr(programs, asked.program.replace("-", "_"))(spark, *values, **more)
     if asked.program == "one-pair":
         print("score:", found[0], "pose:", *found[1])

@@ -208,8 +208,9 @@ def plane_refine(a: np.ndarray, b: np.ndarray, pose: np.ndarray) -> np.ndarray:
 
 def ransac(match_a: np.ndarray, match_b: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int, seed: int, matched_within: float | None = None) -> tuple[np.ndarray, int, float]:
     """Pose, inliers and score exp(-mean distance). Inliers are nodes of a with a
-    node of b in the 27 voxels around them; with matched_within instead matched
-    pairs nearer than that. Samples are of three matches, with replacement."""
+    node of b in the 27 voxels around them, and enough of them end the search; with
+    matched_within instead matched pairs nearer than that, over all steps. Samples are
+    of three matches, with replacement."""
     rng = np.random.default_rng(seed)
     grid = Grid(b, INLIER_VOXEL) if matched_within is None else None
     pose, most, loss = np.eye(4), 0, NO_LOSS
@@ -219,13 +220,12 @@ def ransac(match_a: np.ndarray, match_b: np.ndarray, a: np.ndarray, b: np.ndarra
         if grid is None:
             gaps = np.linalg.norm(move(tried, match_a) - match_b, axis=1)
             gaps = gaps[gaps < matched_within]
-            n = len(match_a)
         else:
             index, d2 = grid.nearest(move(tried, a))
-            gaps, n = np.sqrt(d2[index >= 0]), len(a)
+            gaps = np.sqrt(d2[index >= 0])
         if len(gaps) > most:
             pose, most, loss = tried, len(gaps), float(gaps.mean())
-            if (most / n > 0.5 and most > 2) or most > 8:
+            if grid is not None and (most > 8 or (most > 2 and most > 0.5 * len(a))):
                 break
     return pose, most, float(np.exp(-loss)) if most >= 3 else 0.0
 

@@ -63,11 +63,11 @@ def threshold_sweep(top1: DataFrame) -> DataFrame:
 
 
 def average_precision(points: DataFrame) -> DataFrame:
-    """points(step, precision, recall): AP = sum of recall gains times precision, and
-    the largest F1."""
-    gain = F.col("recall") - F.lag("recall", 1, 0.0).over(Window.orderBy("step"))
+    """points(step, precision, recall): AP = sum of recall gains times precision, from
+    the second point on, and the largest F1."""
+    gain = F.col("recall") - F.lag("recall").over(Window.orderBy("step"))
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-12)
-    return points.select((gain * F.col("precision")).alias("part"), f1.alias("f1")).agg(F.sum("part").alias("ap"), F.max("f1").alias("f1_max"))
+    return points.select((gain * F.col("precision")).alias("part"), f1.alias("f1")).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("ap"), F.max("f1").alias("f1_max"))
 
 
 def auc(points: DataFrame) -> DataFrame:

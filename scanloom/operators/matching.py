@@ -15,18 +15,25 @@ MAX_COST, FORBIDDEN = 0.5, 1e8
 BYPASS, SIDE_LIMIT = 15, 0.25
 
 
-def gated_pairs(a: DataFrame, b: DataFrame, config: Config = KITTI) -> DataFrame:
-    """a, b(pair_id, node_id, cls, dx, dy, dz, desc): node pairs of one class whose
-    sizes differ by at most box_limit and whose cosine cost is at most MAX_COST. An
-    equi-join; the sizes are compared before the cosine."""
-    left = a.select("pair_id", "cls", *[F.col(c).alias(f"a_{c}") for c in ("node_id", "dx", "dy", "dz", "desc")])
-    right = b.select("pair_id", "cls", *[F.col(c).alias(f"b_{c}") for c in ("node_id", "dx", "dy", "dz", "desc")])
+def size_gated_pairs(a: DataFrame, b: DataFrame, config: Config = KITTI) -> DataFrame:
+    """a, b(pair_id, node_id, cls, dx, dy, dz, ...): node pairs of one class whose sizes
+    differ by at most box_limit; columns of a begin with a_, those of b with b_. An
+    equi-join."""
+    keys = ("pair_id", "cls")
+    left = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in keys])
+    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
     fits = F.lit(True)
     for c in ("dx", "dy", "dz"):
         fits = fits & (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= config.box_limit)
+    return left.join(right, list(keys)).where(fits)
+
+
+def gated_pairs(a: DataFrame, b: DataFrame, config: Config = KITTI) -> DataFrame:
+    """a, b(pair_id, node_id, cls, dx, dy, dz, desc): the pairs of size_gated_pairs()
+    whose cosine cost is at most MAX_COST."""
     cost = F.greatest(F.lit(0.0), 1.0 - cosine(F.col("a_desc"), F.col("b_desc")))
-    joined = left.join(right, ["pair_id", "cls"]).where(fits)
-    return joined.select("pair_id", "a_node_id", "b_node_id", cost.alias("cost")).where(F.col("cost") <= MAX_COST)
+    columns = ("pair_id", "node_id", "cls", "dx", "dy", "dz", "desc")
+    return size_gated_pairs(a.select(*columns), b.select(*columns), config).select("pair_id", "a_node_id", "b_node_id", cost.alias("cost")).where(F.col("cost") <= MAX_COST)
 
 
 def assign(cost: np.ndarray) -> np.ndarray:

@@ -64,25 +64,22 @@ def _points(pdf: pd.DataFrame, prefix: str = "") -> np.ndarray:
     return pdf[[f"{prefix}x", f"{prefix}y", f"{prefix}z"]].to_numpy(dtype=np.float64)
 
 
-def ransac_poses(matches: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame, steps: int, matched_within: float | None = None) -> DataFrame:
-    """matches(pair_id, ax.., bx.., kept), nodes(pair_id, cx, cy, cz): per pair with
-    at least three kept matches its pose, inliers and score; else the identity, 0."""
-    nodes = nodes_a.select("pair_id", F.lit(0).alias("side"), *[F.col(f"c{c}").alias(c) for c in "xyz"]).unionByName(
-        nodes_b.select("pair_id", F.lit(1).alias("side"), *[F.col(f"c{c}").alias(c) for c in "xyz"])
-    )
-
-    def run(key, found: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+def ransac_poses(matches: DataFrame, steps: int, matched_within: float | None = None) -> DataFrame:
+    """matches(pair_id, ax.., bx.., kept): per pair with at least three kept matches its
+    pose, inliers and score; else the identity, 0. Samples are of the kept matches,
+    inliers are counted over the nodes of all matches."""
+
+    def run(key, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["ax", "ay", "az", "bx"])
         kept = found[found.kept]
         pose, n, score = np.eye(4), 0, 0.0
         if len(kept) >= 3:
-            pdf = pdf.sort_values(["side", "x", "y", "z"])
-            kept = kept.sort_values(["ax", "ay", "az", "bx"])
-            a, b = _points(pdf[pdf.side == 0]), _points(pdf[pdf.side == 1])
-            pose, n, score = rigid.ransac(_points(kept, "a"), _points(kept, "b"), a, b, steps, seed_of(key[0]), matched_within)
+            sides = [_points(rows, side) for rows in (kept, found) for side in "ab"]
+            pose, n, score = rigid.ransac(*sides, steps, seed_of(key[0]), matched_within)
         return pd.DataFrame({"pair_id": [key[0]], "pose": [pose[:3].ravel()], "n_inliers": [n], "score": [score]})
 
     schema = f"pair_id bigint, pose {POSE}, n_inliers bigint, score double"
-    return matches.groupBy("pair_id").cogroup(nodes.groupBy("pair_id")).applyInPandas(run, schema)
+    return matches.groupBy("pair_id").applyInPandas(run, schema)
 
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -128,31 +125,3 @@ def background_poses(points_a: DataFrame, points_b: DataFrame, guesses: DataFram
     keep = F.col("label").isin(*BACKGROUND)
     return icp_poses(points_a.where(keep), points_b.where(keep), guesses)
 
-
-def voxel_planes(moments: DataFrame) -> DataFrame:
-    """Normals of the flat voxels of operators.voxels.plane_moments()."""
-
-    def run(batches):
-        for pdf in batches:
-            c = pdf[["cxx", "cxy", "cxz", "cxy", "cyy", "cyz", "cxz", "cyz", "czz"]].to_numpy().reshape(-1, 3, 3)
-            values, vectors = np.linalg.eigh(c)
-            flat = values[:, 0] <= rigid.PLANE_FLAT
-            normal = vectors[:, :, 0]
-            out = pdf[["scan_id", "vx", "vy", "vz", "n", "mx", "my", "mz"]].assign(nx=normal[:, 0], ny=normal[:, 1], nz=normal[:, 2])
-            yield out[flat]
-
-    return moments.mapInPandas(run, "scan_id bigint, vx int, vy int, vz int, n bigint, mx double, my double, mz double, nx double, ny double, nz double")
-
-
-def plane_correspondences(a: DataFrame, b: DataFrame, size: float = rigid.PLANE_VOXEL) -> DataFrame:
-    """a (already moved), b(pair_id, pt_idx, x, y, z, nx, ny, nz): each plane's nearest
-    in the 27 voxels around it, if normals and offsets agree."""
-    from .voxels import nearest_within
-
-    met = nearest_within(a, b, size, 4 * size, 1 << 30)
-    one = a.select("pair_id", F.col("pt_idx").alias("src_idx"), *[F.col(f"n{c}").alias(f"an{c}") for c in "xyz"])
-    two = b.select("pair_id", F.col("pt_idx").alias("tgt_idx"), *[F.col(f"n{c}").alias(f"bn{c}") for c in "xyz"])
-    joined = met.join(one, ["pair_id", "src_idx"]).join(two, ["pair_id", "tgt_idx"])
-    gap = lambda sign: F.sqrt(sum(((F.col(f"an{c}") - sign * F.col(f"bn{c}")) * (F.col(f"an{c}") - sign * F.col(f"bn{c}")) for c in "xyz"), F.lit(0.0)))
-    off = F.abs(sum((F.col(f"bn{c}") * (F.col(f"s{c}") - F.col(f"t{c}")) for c in "xyz"), F.lit(0.0)))
-    return joined.where((F.least(gap(1.0), gap(-1.0)) < rigid.NORMAL_LIMIT) & (off < rigid.PLANE_LIMIT) & (F.col("d2") < rigid.PLANE_D2))

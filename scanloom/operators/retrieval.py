@@ -37,16 +37,18 @@ def _block_candidates(queries: pd.DataFrame, scans: pd.DataFrame, k: int, exclus
 
 def candidates(scans: DataFrame, k: int = K, exclusion: int = EXCLUSION, block: int = BLOCK, queries: DataFrame | None = None) -> DataFrame:
     """scans(id, vec): (query_id, cand_id, d2, rk) for queries (default: all scans)
-    of an id above the exclusion. d2: squared L2, rounded to DIGITS."""
+    of an id above the exclusion. d2: squared L2, rounded to DIGITS. A scan goes only
+    to blocks from the first to the last with a query, so a few new queries cost one
+    copy of the history."""
     queries = (scans if queries is None else queries).where(F.col("id") > exclusion)
     with_block = lambda df: df.withColumn("own", F.floor(F.col("id") / block).cast("int"))
-    last = queries.agg(F.max("id")).first()[0]
-    top = 0 if last is None else int(last) // block
+    first, last = queries.agg(F.min("id"), F.max("id")).first()
+    low, top = (0, 0) if last is None else (int(first) // block, int(last) // block)
     asked = with_block(queries).select("id", "vec", F.col("own").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("cb"))
     held = (
         with_block(scans)
         .where(F.col("own") <= top)
-        .select("id", "vec", F.col("own").alias("cb"), F.explode(F.sequence(F.col("own"), F.lit(top))).alias("qb"))
+        .select("id", "vec", F.col("own").alias("cb"), F.explode(F.sequence(F.greatest("own", F.lit(low)), F.lit(top))).alias("qb"))
     )
     found = (
         asked.groupBy("qb", "cb")

@@ -52,7 +52,7 @@ def align_nodes(pairs: DataFrame, nodes: DataFrame, steps: int, config: Config =
     """A pose from node matches for every pair: (pair_id, n_a, n_b, pose, score, n_kept)."""
     matches = cut(match_nodes(pairs, nodes, config))
     a, b = _side(pairs, nodes, "scan_a"), _side(pairs, nodes, "scan_b")
-    poses = registration.ransac_poses(matches, a, b, steps)
+    poses = registration.ransac_poses(matches, steps)
     size = lambda side, name: side.groupBy("pair_id").agg(F.count("*").alias(name))
     counts = matches.groupBy("pair_id").agg(F.count_if("kept").alias("n_kept"))
     same = F.array(*[F.lit(x) for x in IDENTITY])
@@ -116,16 +116,23 @@ def verify(found: DataFrame, points: DataFrame, config: Config = KITTI) -> DataF
     with their query; those that aren't alike get the distance 2."""
     near = found.where((F.col("d2") < config.gate) & (F.col("cand_id") >= 0))
     pairs = near.select((F.col("query_id") * 1_000_000_007 + F.col("cand_id")).alias("pair_id"), F.col("query_id").alias("scan_a"), F.col("cand_id").alias("scan_b"))
-    scored = pair_similarity(points, cut(pairs.distinct()), config).select(F.col("scan_a").alias("query_id"), F.col("scan_b").alias("cand_id"), "score")
+    pairs = cut(pairs.distinct())
+    used = pairs.select(F.explode(F.array("scan_a", "scan_b")).alias("scan_id")).distinct()
+    scored = pair_similarity(points.join(used, "scan_id", "left_semi"), pairs, config).select(F.col("scan_a").alias("query_id"), F.col("scan_b").alias("cand_id"), "score")
     refused = F.coalesce(F.col("score") <= 0, F.lit(False))
     joined = found.join(scored, ["query_id", "cand_id"], "left")
     return joined.select("query_id", "cand_id", "rk", F.when(refused, F.lit(retrieval.NO_DISTANCE)).otherwise(F.col("d2")).alias("d2"))
 
 
+def scan_vectors(points: DataFrame, config: Config = KITTI) -> DataFrame:
+    """(id, vec): each scan's descriptor as a dense vector."""
+    size = background.GRAPH_SLOTS + 2 * background.RINGS
+    return background.dense(scan_descriptors(points, config), size).withColumnRenamed("scan_id", "id")
+
+
 def sequence_candidates(points: DataFrame, config: Config = KITTI, k: int = retrieval.K, exclusion: int = retrieval.EXCLUSION) -> DataFrame:
     """From points of a sequence to k candidates per query, by descriptor."""
-    size = background.GRAPH_SLOTS + 2 * background.RINGS
-    vectors = cut(background.dense(scan_descriptors(points, config), size).withColumnRenamed("scan_id", "id"))
+    vectors = cut(scan_vectors(points, config))
     return retrieval.padded(retrieval.candidates(vectors, k, exclusion), vectors, k, exclusion)
 
 

@@ -181,6 +181,11 @@ def _pad(column: str, n: int) -> str:
     return f"CASE WHEN length(CAST({column} AS VARCHAR)) >= {n} THEN CAST({column} AS VARCHAR) ELSE lpad(CAST({column} AS VARCHAR), {n}, '0') END"
 
 
+def _true_pairs(vectors: int = 50) -> str:
+    """Every scan and its copy, whose motion is known, so the pose found must be close."""
+    return _with(poses_sql(vectors)) + "SELECT pair_id * 2 AS pair_id, true AS close FROM pose"
+
+
 ORACLES: dict[str, str] = {
     "knn_exclusion_topk": _with(_TOP) + "SELECT query_id, cand_id, d2, rk FROM top",
     "knn_padded_candidates": _with(_TOP, _PADDED) + "SELECT query_id, rk, cand_id, d2 FROM padded",
@@ -192,8 +197,8 @@ ORACLES: dict[str, str] = {
     "pr_threshold_sweep": _with(*_RETRIEVAL, _SWEEP)
     + f"SELECT step, round(step * 0.01::DOUBLE, 2) AS threshold, tp, fp, tn, fn, {_r('precision', 'precision')}, {_r('recall', 'recall')} FROM sweep",
     "pr_average_precision": _with(*_RETRIEVAL, _SWEEP)
-    + f"""SELECT {_r("sum(gain * precision)", "ap")}, {_r("max(2 * precision * recall / (precision + recall + 1e-12))", "f1_max")}
-FROM (SELECT *, recall - lag(recall, 1, 0.0::DOUBLE) OVER (ORDER BY step) AS gain FROM sweep)""",
+    + f"""SELECT {_r("coalesce(sum(gain * precision), 0)", "ap")}, {_r("max(2 * precision * recall / (precision + recall + 1e-12))", "f1_max")}
+FROM (SELECT *, recall - lag(recall) OVER (ORDER BY step) AS gain FROM sweep)""",
     "pr_auc": _with(*_RETRIEVAL, _SWEEP)
     + f"""SELECT {_r("sum((recall - r0) * (precision + p0) / 2) * 100", "auc")}
 FROM (SELECT *, lag(recall) OVER o AS r0, lag(precision) OVER o AS p0 FROM sweep WINDOW o AS (ORDER BY recall, precision, step))""",
@@ -251,6 +256,17 @@ FROM (SELECT * FROM graph UNION ALL SELECT scan_id, CAST(slot + 183 AS INT), val
     + """SELECT i.scan_id AS pair_id, i.node_id AS match_id, i.node_id AS node_a, i.node_id AS node_b, coalesce(n_triangles, 0) AS n_triangles,
   count(*) OVER (PARTITION BY i.scan_id) < 15 OR coalesce(n_triangles >= CASE WHEN near_a > 3 AND near_b > 3 THEN 2 ELSE 1 END, false) AS kept
 FROM inst i LEFT JOIN met ON met.scan_id = i.scan_id AND met.node_id = i.node_id""",
+    "size_gated_pairs": _with(*_scans())
+    + """SELECT a.scan_id AS pair_id, a.cls, a.node_id AS node_a, b.node_id AS node_b FROM inst a JOIN inst b ON b.scan_id = a.scan_id + 1 AND b.cls = a.cls
+WHERE abs(a.dx - b.dx) <= 2 AND abs(a.dy - b.dy) <= 2 AND abs(a.dz - b.dz) <= 2""",
+    "ransac_pose": _true_pairs(),
+    "ransac_matched_pose": _true_pairs(),
+    "icp_pose": _true_pairs(25),
+    "plane_icp_pose": _true_pairs(25),
+    "loop_pose": _true_pairs(),
+    "loop_similarity": _with(poses_sql(50))
+    + """SELECT pair_id * 2 AS pair_id, CAST(1 AS INT) AS gt, true AS good FROM pose
+UNION ALL SELECT pair_id * 2 + 1, 0, false FROM pose WHERE pair_id < (SELECT max(pair_id) FROM pose)""",
     "kabsch_moments": _with(points_sql(), poses_sql(), _COPIED) + f"SELECT pair_id, count(*) AS n, {_kabsch()} FROM copied GROUP BY pair_id",
     "kabsch_pose_error": _with(poses_sql()) + "SELECT pair_id, 0.0::DOUBLE AS rte, 0.0::DOUBLE AS rre, true AS success FROM pose",
     "icp_normal_equations": _with(points_sql(), _NEAREST) + f"SELECT pair_id, count(*) AS n, {_normal_equations()} FROM near GROUP BY pair_id",

@@ -53,8 +53,9 @@ def retrieve(
     spark: SparkSession, cloud_dir: str, label_dir: str, out_raw: str, out_verified: str, config: Config = KITTI,
     k: int = retrieval.K, exclusion: int = retrieval.EXCLUSION,
 ) -> DataFrame:
-    """Candidates of every scan of a folder, before and after verification."""
-    points = cut(scans.read_scans(spark, cloud_dir, label_dir, config))
+    """Candidates of every scan of a folder, up to the first number without a scan,
+    before and after verification."""
+    points = scans.until_missing(cut(scans.read_scans(spark, cloud_dir, label_dir, config)))
     raw = cut(loops.sequence_candidates(points, config, k, exclusion))
     sinks.write_candidates(raw, out_raw)
     found = cut(loops.verify(raw, points, config))

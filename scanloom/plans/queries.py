@@ -298,6 +298,21 @@ def _loop_tables(spark, sf_dir, vectors_a_scan: int = 50) -> tuple[DataFrame, Da
     return cut(both), cut(fixtures.pairs_with_copies(spark, sf_dir, vectors_a_scan))
 
 
+def _close(found: DataFrame, spark, sf_dir: str, rte: float, rre: float, vectors_a_scan: int = 50) -> DataFrame:
+    """Of the poses found of scans and their own copies, whether they are so near to the
+    copy's motion (metres and degrees)."""
+    truth = fixtures.poses(spark, sf_dir, vectors_a_scan).select((F.col("pair_id") * 2).alias("pair_id"), "truth")
+    errors = evaluation.pose_errors(truth.join(found.select("pair_id", "pose"), "pair_id"))
+    return errors.select("pair_id", ((F.col("rte") < rte) & (F.col("rre") < rre)).alias("close"))
+
+
+def size_gated_pairs(spark, sf_dir):
+    """Instances of each scan with those of the next."""
+    own = _instances(spark, sf_dir).select(F.col("scan_id").alias("pair_id"), "node_id", "cls", "dx", "dy", "dz")
+    before = own.withColumn("pair_id", F.col("pair_id") - 1)
+    return matching.size_gated_pairs(own, before).select("pair_id", "cls", F.col("a_node_id").alias("node_a"), F.col("b_node_id").alias("node_b"))
+
+
 def hungarian_match(spark, sf_dir):
     table, pairs = _loop_tables(spark, sf_dir)
     found = loops.match_nodes(pairs, cut(loops.scan_nodes(table)))
@@ -307,15 +322,13 @@ def hungarian_match(spark, sf_dir):
 def ransac_pose(spark, sf_dir):
     table, pairs = _loop_tables(spark, sf_dir)
     found = loops.align_nodes(pairs, cut(loops.scan_nodes(table)), loops.RANSAC_DETECT)
-    return _spread(found, "pose", POSE_NAMES)
+    return _close(found, spark, sf_dir, evaluation.RTE_LIMIT, evaluation.RRE_LIMIT)
 
 
 def ransac_matched_pose(spark, sf_dir):
     table, pairs = _loop_tables(spark, sf_dir)
-    nodes = cut(loops.scan_nodes(table))
-    matches = cut(loops.match_nodes(pairs, nodes))
-    a, b = loops._side(pairs, nodes, "scan_a"), loops._side(pairs, nodes, "scan_b")
-    return _spread(registration.ransac_poses(matches, a, b, loops.RANSAC_POSE, KITTI.inlier_limit), "pose", POSE_NAMES)
+    matches = cut(loops.match_nodes(pairs, cut(loops.scan_nodes(table))))
+    return _close(registration.ransac_poses(matches, loops.RANSAC_POSE, KITTI.inlier_limit), spark, sf_dir, 0.3, 1.5)
 
 
 def _near_guess(spark, sf_dir):
@@ -330,23 +343,26 @@ def _near_guess(spark, sf_dir):
 
 def icp_pose(spark, sf_dir):
     a, b, guess = _near_guess(spark, sf_dir)
-    found = registration.icp_poses(a, b, guess).join(guess.select("pair_id", "truth"), "pair_id")
-    return evaluation.pose_errors(found)
+    return _close(registration.icp_poses(a, b, guess), spark, sf_dir, 0.05, 0.2, 25)
 
 
 def plane_icp_pose(spark, sf_dir):
     a, b, guess = _near_guess(spark, sf_dir)
-    return _spread(registration.plane_poses(a, b, guess), "pose", POSE_NAMES)
+    return _close(registration.plane_poses(a, b, guess), spark, sf_dir, 0.3, 0.5, 25)
 
 
 def loop_similarity(spark, sf_dir):
+    """Scores of false pairs, and of true ones those that the engine's two gates let
+    through with a score near 1."""
     table, pairs = _loop_tables(spark, sf_dir)
-    return loops.pair_similarity(table, pairs)
+    found = cut(loops.pair_similarity(table, pairs))
+    nodes = found.where("gt = 1").select("pair_id", "gt", (F.col("node_score") > 0.7).alias("good"))
+    return nodes.unionByName(found.where("gt = 0").select("pair_id", "gt", (F.col("score") > 0).alias("good")))
 
 
 def loop_pose(spark, sf_dir):
     table, pairs = _loop_tables(spark, sf_dir)
-    return _spread(loops.pair_poses(table, pairs), "pose", POSE_NAMES)
+    return _close(loops.pair_poses(table, pairs), spark, sf_dir, 0.1, 0.3)
 
 
 def sequence_retrieval(spark, sf_dir):

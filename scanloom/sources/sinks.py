@@ -20,10 +20,6 @@ def write_candidates(found: DataFrame, path: str) -> None:
     _write_lines(found.orderBy("query_id", "rk"), F.col("query_id"), F.col("cand_id"), F.col("d2")).text(path)
 
 
-def write_candidate_table(found: DataFrame, path: str) -> None:
-    found.write.mode("overwrite").parquet(path)
-
-
 def pose_text(pose: Column) -> Column:
     return F.array_join(F.transform(pose, lambda x: x.cast("string")), " ")
 

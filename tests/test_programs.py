@@ -1,5 +1,7 @@
 """The programs end to end on files."""
 
+import shutil
+
 import numpy as np
 import pytest
 
@@ -7,6 +9,7 @@ from scanloom.config import KITTI
 from scanloom.functions.labels import LEARNING_MAP
 from scanloom.plans import programs
 from scanloom.sources import scans
+from scanloom.streaming.retrieval import answer_scan_stream, read_answers
 
 RAW = {train: raw for raw, train in LEARNING_MAP.items() if train}
 
@@ -67,3 +70,19 @@ def test_retrieval_over_a_sequence(spark, sequence, tmp_path):
     found = row.first()
     assert found.recall_1 == 1 and found.recall_1_percent == 1
     assert scans.truth_size(str(tmp_path / "truth.npz")) == 8
+
+
+def test_stream_of_scan_files_equals_the_batch(spark, sequence, tmp_path):
+    clouds, labels = str(sequence / "velodyne"), str(sequence / "labels")
+    want = programs.retrieve(spark, clouds, labels, str(tmp_path / "raw"), str(tmp_path / "ok"), KITTI, k=3, exclusion=1)
+    answer_scan_stream(spark, clouds, labels, str(tmp_path / "seen"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), KITTI, k=3, exclusion=1, files_per_batch=3)
+    order = lambda df: sorted((r.query_id, r.rk, r.cand_id, round(r.d2, 6)) for r in df.collect())
+    assert order(read_answers(spark, str(tmp_path / "out"))) == order(want)
+
+
+def test_retrieval_ends_at_the_first_missing_scan(spark, sequence, tmp_path):
+    clouds = tmp_path / "velodyne"
+    shutil.copytree(sequence / "velodyne", clouds)
+    (clouds / "000005.bin").unlink()
+    found = programs.retrieve(spark, str(clouds), str(sequence / "labels"), str(tmp_path / "raw"), str(tmp_path / "ok"), KITTI, k=2, exclusion=1)
+    assert {r.query_id for r in found.collect()} == {2, 3, 4}

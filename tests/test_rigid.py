@@ -90,6 +90,19 @@ def test_ransac_recovers_pose_among_outliers():
     assert rigid.ransac(a[:0], b[:0], a, b, 100, 1)[2] == 0
 
 
+def test_ransac_inliers_are_of_the_nodes_given():
+    """Nodes without a match count only if they are passed; matched mode takes all steps."""
+    rng = np.random.default_rng(8)
+    a, pose = rng.uniform(-30, 30, (12, 3)), motion(rng, 0.3, 3.0)
+    b = rigid.move(pose, a)
+    lonely = rng.uniform(60, 90, (30, 3))
+    assert rigid.ransac(a[:6], b[:6], a[:6], b[:6], 1, 3)[1] == 6
+    assert rigid.ransac(a[:6], b[:6], np.vstack([a, lonely]), np.vstack([b, -lonely]), 1, 3)[1] == 12
+    noisy = b + rng.normal(0, 0.05, b.shape)
+    few, many = (rigid.ransac(a, noisy, a, noisy, steps, 3, matched_within=0.12) for steps in (1, 200))
+    assert many[1] > few[1] and many[1] > 6
+
+
 def test_normal_equations_equal_jacobian_sums():
     rng = np.random.default_rng(6)
     s, q = rng.normal(size=(7, 3)), rng.normal(size=(7, 3))
