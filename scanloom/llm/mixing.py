@@ -10,6 +10,7 @@ A leaf with quota q of its t tokens is taken floor(q / t) times whole; the rest
 the prefix of one more epoch, in the order of a seeded hash of the id that differs
 from epoch to epoch. A document is in the prefix if fewer tokens than that rest
 come before it, so the last one is taken whole; documents of one id go together.
+Documents without an id are ordered by a hash of their text.
 
 Tokens are the words of the whole text (null: none). Null langs and sources are
 the empty string; domains, languages and sources without a weight of their own
@@ -28,7 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, free_name, join_groups, spool
+from .common import WORD, documents, free_name, join_groups, quoted, spool, whole_row
 
 OTHER_WEIGHT = 0.05
 LEVELS = ("domain", "lang", "source")
@@ -117,8 +118,12 @@ def quotas(leaves: DataFrame, plan: Plan) -> DataFrame:
     return found.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.col("quota") - F.col("epochs") * F.col("tokens"), F.lit(0.0)))
 
 
-def _order_key(plan: Plan, doc_id: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("epochs").cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def _order_id(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.coalesce(F.md5(text.cast("binary")), F.lit(""))))
+
+
+def _order_key(plan: Plan, order_id: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("epochs").cast("string"), order_id))
 
 
 def _bucket(key: Column) -> Column:
@@ -138,17 +143,20 @@ class Decision:
 def decide(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> Decision:
     names = _tree(plan, F.col("lang"), F.col("source"))
     rows = spool(
-        docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in names.items()], n_tokens(F.col(text_col)).alias("n_tokens")).withColumn(
-            "leaf", F.concat_ws("\x1f", *LEVELS)
-        ),
+        docs.select(
+            F.col(quoted(id_col)).alias("doc_id"),
+            _order_id(F.col(quoted(id_col)), F.col(quoted(text_col))).alias("order_id"),
+            *[c.alias(n) for n, c in names.items()],
+            n_tokens(F.col(quoted(text_col))).alias("n_tokens"),
+        ).withColumn("leaf", F.concat_ws("\x1f", *LEVELS)),
         "tokens",
     )
     n = rows.count()
     sums = spool(rows.groupBy("leaf", *LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("group_size")), "leaves")
     leaves = spool(quotas(sums, plan), "quotas")
     keyed = spool(
-        join_groups(rows.select("doc_id", "leaf", "n_tokens"), leaves.where("rest > 0").select("leaf", "group_size", "epochs", "rest"), "leaf", n)
-        .withColumn("key", _order_key(plan, F.col("doc_id")))
+        join_groups(rows.select("order_id", "leaf", "n_tokens"), leaves.where("rest > 0").select("leaf", "group_size", "epochs", "rest"), "leaf", n)
+        .withColumn("key", _order_key(plan, F.col("order_id")))
         .withColumn("bucket", _bucket(F.col("key")))
         .select("leaf", "key", "bucket", "n_tokens", "rest"),
         "keys",
@@ -175,10 +183,10 @@ def decide(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str =
     return Decision(leaves, spool(edge_keys.distinct(), "edge-keys"), rows, n)
 
 
-def _with_copies(rows: DataFrame, decision: Decision, plan: Plan, doc_id: Column, leaf_name: str, copies_name: str) -> DataFrame:
+def _with_copies(rows: DataFrame, decision: Decision, plan: Plan, order_id: Column, leaf_name: str, copies_name: str) -> DataFrame:
     """rows, which carry their leaf, with the number of times that each is taken.
     Only rows in a leaf's edge bucket are looked up by key."""
-    row = rows.select(F.col(leaf_name).alias("leaf"), doc_id.alias("id"), F.struct(*[c for c in rows.columns if c != leaf_name]).alias("row"))
+    row = rows.select(F.col(leaf_name).alias("leaf"), order_id.alias("id"), whole_row(rows.drop(leaf_name)).alias("row"))
     summary = decision.leaves.select("leaf", "group_size", "epochs", "rest", "edge", "tokens", "quota")
     keyed = join_groups(row, summary, "leaf", decision.n_rows).withColumn("key", _order_key(plan, F.col("id")))
     at_edge = F.coalesce(_bucket(F.col("key")) == F.col("edge"), F.lit(False))
@@ -191,8 +199,8 @@ def _with_copies(rows: DataFrame, decision: Decision, plan: Plan, doc_id: Column
 def mix_report(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its leaf, the leaf's tokens and quota, and copies."""
     decision = decide(docs, plan, id_col, text_col)
-    found = _with_copies(decision.rows, decision, plan, F.col("doc_id"), "leaf", "copies")
-    return found.select("row.*", F.col("tokens").alias("leaf_tokens"), F.round("quota", 3).alias("leaf_quota"), "copies")
+    found = _with_copies(decision.rows, decision, plan, F.col("order_id"), "leaf", "copies")
+    return found.select(*[f"row.{c}" for c in ("doc_id", *LEVELS, "n_tokens")], F.col("tokens").alias("leaf_tokens"), F.round("quota", 3).alias("leaf_quota"), "copies")
 
 
 def mix(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +208,7 @@ def mix(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "te
     decision = decide(docs, plan, id_col, text_col)
     leaf = free_name(docs, "leaf")
     rows = docs.withColumn(leaf, _leaf(_tree(plan, F.col("lang"), F.col("source"))))
-    taken = _with_copies(rows, decision, plan, F.col(id_col), leaf, "copies").where("copies > 0")
+    taken = _with_copies(rows, decision, plan, _order_id(F.col(quoted(id_col)), F.col(quoted(text_col))), leaf, "copies").where("copies > 0")
     again = F.explode(F.sequence(F.lit(1), F.col("copies")))
     return taken.select("row", again.alias("copy")).select("row.*")
 

@@ -15,8 +15,8 @@ texts are tokenised whole, piece by piece, cut where the tokenizer's pattern
 always ends a match.
 
 Tokens are those of the byte-level BPE file, taken from the rank file of the same
-vocabulary by the faster library; tests hold them against the first library.
-Strings that look like special tokens are ordinary text.
+vocabulary by the faster library; tests hold them against the first library. The
+string of the file's added token is that token wherever it occurs, as there.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import documents
+from .common import documents, quoted
 
 SEQUENCE_TOKENS = 2048
 END_TOKEN = 1
@@ -40,7 +42,9 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 BATCH_TOKENS = 4_000_000
 #: Characters that are tokenised at a time.
 CHUNK_CHARS = 1 << 16
-SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+# The vocabulary's added token and its id.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
+SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 _encoders: dict = {}
 
@@ -73,7 +77,11 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
 
 def tokens(text: str | None, bpe) -> np.ndarray:
     """The ids of a whole text and the end token, little-endian unsigned 32-bit."""
-    ids = [np.asarray(bpe.encode_ordinary(part), dtype="<u4") for part in chunks(text or "")]
+    ids = []
+    for i, between in enumerate((text or "").split(ADDED)):
+        if i:
+            ids.append(np.asarray([ADDED_ID], dtype="<u4"))
+        ids += [np.asarray(bpe.encode_ordinary(part), dtype="<u4") for part in chunks(between)]
     return np.concatenate([*ids, np.asarray([END_TOKEN], dtype="<u4")])
 
 
@@ -121,9 +129,12 @@ def pack(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> list[tuple[int,
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE_TOKENS, vocabulary: str | None = None) -> DataFrame:
-    """One row per piece: SCHEMA. Sequence ids are the partition's number times
+    """One row per piece: doc_id, of the input's type, and SCHEMA. Sequence ids are the partition's number times
     2**32 plus a count, so a task that runs again gives the same."""
 
+    narrow = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    id_type = to_arrow_type(narrow.schema["doc_id"].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -142,8 +153,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             next_sequence += 1 + max((s for *_, s, _ in pieces), default=-1)
             ids.clear(), texts.clear()
             held = 0
-            names = [field.split()[0] for field in SCHEMA.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+            names = ["doc_id", *(field.split()[0] for field in SCHEMA.split(", "))]
+            first, *rest = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(first, id_type), *(pa.array(c, pa.int64()) for c in rest)], names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -155,7 +167,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if texts:
             yield flush()
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, {SCHEMA}")
 
 
 def op8_cost_packing(spark, sf_dir: str) -> DataFrame:

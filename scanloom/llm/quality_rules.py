@@ -1,13 +1,15 @@
 """Quality rules as a short-circuit cascade (operator 4, native).
 
 Each rule is a boolean expression over the text; it is true where the rule rejects.
-On a sample the operator measures what a rule costs and how much it rejects, and
-orders the rules by rejection per cost. The cascade is one CASE expression in that
-order, so a row pays only for the rules up to the first that rejects it. A text is
-kept if no rule rejects it, so the order changes the cost and never the verdict.
-
-The sample is up to SAMPLE_ROWS rows of texts up to SAMPLE_CHARS characters, and
-only the order of the rules depends on it. A null or empty text has no words and
+On a sample the operator measures what a rule costs and which rows it rejects, in the
+form in which it is run, and orders the rules by rejection per cost: each time the
+rule that rejects most per cost of the rows that the rules before it leave. The
+cascade is one CASE expression in that order, so a row pays only for the rules up to
+the first that rejects it. A text is kept if no rule rejects it, so the order changes
+the cost and never the verdict.
+
+The sample is about SAMPLE_ROWS rows by a hash of the id, of texts up to SAMPLE_CHARS
+characters, and only the order of the rules depends on it. A null or empty text has no words and
 is rejected for having too few. Texts are read whole, whatever their length; an
 empty table gives no rows; repeated rows get equal verdicts; other input columns
 are ignored, or in keep_good() returned as they are.
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, documents, let
+from .common import SPACE, WORD, documents, let, quoted
 
 SAMPLE_ROWS = 1000
 SAMPLE_CHARS = 50_000
@@ -135,28 +137,49 @@ MORE_RULES = (
 )
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> list[Rule]:
-    """The rules by rejections per second on a sample, best first."""
-    spark = docs.sparkSession
-    fits = F.coalesce(F.length(text_col), F.lit(0)) <= SAMPLE_CHARS
-    rows = docs.where(fits).select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).take(SAMPLE_ROWS)
+def by_gain(rejected: dict[str, set[int]], cost: dict[str, float]) -> list[str]:
+    """Names of rules in the order of rejections per cost, of the rows that the rules
+    before leave; rejected: the rows that each rejects."""
+    order, left = [], dict(rejected)
+    while left:
+        best = min(left, key=lambda name: (-(len(left[name]) + 1) / cost[name], name))
+        gone = left.pop(best)
+        left = {name: rows - gone for name, rows in left.items()}
+        order.append(best)
+    return order
+
+
+def _sample(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Some rows (text) by a hash of the id, held by the driver."""
+    n = docs.count()
+    spread = F.pmod(F.xxhash64(F.lit("sample"), F.col(quoted(id_col))), F.lit(max(1, n // SAMPLE_ROWS)))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    rows = docs.where(spread == 0).select(text.alias("text")).where(F.length("text") <= SAMPLE_CHARS).limit(2 * SAMPLE_ROWS).collect()
+    return docs.sparkSession.createDataFrame([(r.text,) for r in rows], "text string")
+
+
+def order_rules(sample: DataFrame, rules: Sequence[Rule], text: Text) -> list[Rule]:
+    """The rules in the order of by_gain(), as measured on the rows of a sample that
+    they would be asked about; text: what the rules read of such a row."""
+    rows = sample.collect()  # of _sample()
     if not rows:
         return list(rules)
-    sample = spark.createDataFrame([(r.text,) for r in rows], "text string")
+    sample = sample.sparkSession.createDataFrame(rows, sample.schema).coalesce(1)
+    tests = [F.coalesce(rule.rejects(text), F.lit(False)) for rule in rules]
+    found = sample.select(*[t.alias(rule.name) for t, rule in zip(tests, rules, strict=True)]).collect()
 
-    def run(rejects: Column) -> tuple[int, float]:
-        began = time.perf_counter()
-        n = sample.agg(F.count_if(rejects)).first()[0]
-        return n, time.perf_counter() - began
+    def seconds(test: Column) -> float:
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            sample.agg(F.count_if(test)).first()
+            took.append(time.perf_counter() - began)
+        return min(took)
 
-    run(F.length("text") < 0)
-    idle = min(run(F.length("text") < 0)[1] for _ in range(2))
-    gain = {}
-    for rule in rules:
-        rejected, first = run(rule.rejects(Text(F.col("text"))))
-        cost = min(first, run(rule.rejects(Text(F.col("text"))))[1]) - idle
-        gain[rule.name] = (rejected + 1) / max(cost, 1e-3)
-    return sorted(rules, key=lambda r: (-gain[r.name], r.name))
+    idle = seconds(F.col(sample.columns[0]).isNull())
+    cost = {rule.name: max(seconds(test) - idle, 1e-3) for test, rule in zip(tests, rules, strict=True)}
+    order = by_gain({rule.name: {i for i, r in enumerate(found) if r[rule.name]} for rule in rules}, cost)
+    return sorted(rules, key=lambda rule: order.index(rule.name))
 
 
 def cascade(rules: Sequence[Rule], text: Text) -> Column:
@@ -168,10 +191,9 @@ def cascade(rules: Sequence[Rule], text: Text) -> Column:
     return F.lit(True) if verdict is None else verdict.otherwise(F.lit(True))
 
 
-def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = MORE_RULES) -> DataFrame:
-    """One row per document: its counts, base_failed and kept."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _counted(texts: DataFrame) -> DataFrame:
+    """texts(text, ...) with its counts and base_failed."""
+    text = F.col("text")
     counts = let(
         words(text),
         lambda w: F.struct(
@@ -183,17 +205,22 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ),
     )
     failed = (F.col("c.n_words") < 10) | (100 * F.col("c.n_repeat_words") > 20 * F.col("c.n_words"))
-    return (
-        base.select("doc_id", text.alias("text"), counts.alias("c"))
-        .select("doc_id", "text", "c.*", failed.alias("base_failed"))
-        .withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order_rules(docs, rules, text_col), Counted(F.col("text")))))
-        .drop("text")
-    )
+    return texts.select("*", counts.alias("c")).select(*texts.columns, "c.*", failed.alias("base_failed"))
+
+
+def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = MORE_RULES) -> DataFrame:
+    """One row per document: its counts, base_failed and kept."""
+    text = Counted(F.col("text"))
+    reached = _counted(_sample(docs, id_col, text_col)).where(~F.col("base_failed"))
+    verdict = cascade(order_rules(reached, rules, text), text)
+    texts = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+    return _counted(texts).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict)).drop("text")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = BASE_RULES + MORE_RULES) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = BASE_RULES + MORE_RULES) -> DataFrame:
     """The rows of docs that no rule rejects."""
-    return docs.where(cascade(order_rules(docs, rules, text_col), Text(F.coalesce(F.col(text_col), F.lit("")))))
+    ordered = order_rules(_sample(docs, id_col, text_col), rules, Text(F.col("text")))
+    return docs.where(cascade(ordered, Text(F.coalesce(F.col(quoted(text_col)), F.lit("")))))
 
 
 def op4_quality_cascade(spark, sf_dir: str) -> DataFrame:

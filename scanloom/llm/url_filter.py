@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ascii_lower, spool
+from .common import ascii_lower, split_by_keys, spool
 
 # Fixed values of the contract: (verdict, rule).
 RULES = (
@@ -61,15 +61,18 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 
 
 def listed_hosts(hosts: DataFrame, listed: DataFrame) -> DataFrame:
-    """hosts(host) of the corpus and whether it or a domain above it is listed(host)."""
+    """hosts(host) of the corpus and whether it or a domain above it is listed(host).
+    Names are probed in a Bloom filter of the list; only positives are confirmed."""
     labels = F.split("host", "\\.")
     above = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    hits = hosts.select("host", F.explode(above).alias("name")).join(listed.select(F.col("host").alias("name")).distinct(), "name")
-    return hosts.join(hits.select("host").distinct().withColumn("hit", F.lit(True)), "host", "left").select(
-        "host", F.coalesce("hit", F.lit(False)).alias("listed")
-    )
+    known = spool(listed.where(F.col("host").isNotNull()).select(F.col("host").alias("name")).distinct(), "listed")
+    may = split_by_keys(hosts.select("host", F.explode(above).alias("name")), "name", known, "name")[1]
+    hits = spool(may.join(known, "name", "left_semi").select("host").distinct(), "hits")
+    others, may = split_by_keys(hosts, "host", hits, "host")
+    confirmed = may.join(hits.withColumn("hit", F.lit(True)), "host", "left").select("host", F.coalesce("hit", F.lit(False)).alias("listed"))
+    return others.withColumn("listed", F.lit(False)).unionByName(confirmed)
 
 
 class Cascade:

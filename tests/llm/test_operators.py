@@ -189,7 +189,7 @@ def test_licence_rules(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     found = {r.doc_id: r for r in license_scan.scan(docs).collect()}
     assert [found[i].licenses for i in range(len(texts))] == list(texts.values())
-    assert found[1].restricted and found[5].restricted and not found[0].restricted and found[1].sentence_codes == "FN"
+    assert found[1].restricted and found[5].restricted and not found[0].restricted and found[1].sentence_codes == "<mit-name><cc-by-nc>"
 
 
 def test_licence_awkward(awkward, empty):
@@ -241,8 +241,8 @@ def brute_model(docs):
     texts = [(i, [*words(lower(t)), None]) for i, t in docs]
     train = [t for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     one = Counter(w for t in train for w in t)
-    two = {k: c for k, c in Counter(p for t in train for p in zip(t, t[1:], strict=False)).items() if c >= 2}
-    three = {k: c for k, c in Counter(p for t in train for p in zip(t, t[1:], t[2:], strict=False)).items() if c >= 2}
+    two = {k: c for k, c in Counter(p for t in train for p in zip(t, t[1:], strict=False)).items()}
+    three = {k: c for k, c in Counter(p for t in train for p in zip(t, t[1:], t[2:], strict=False)).items()}
     n, v, d = sum(one.values()), len(one), language_model.DISCOUNT
     mass2, mass3 = defaultdict(float), defaultdict(float)
     for (a, _), c in two.items():
@@ -282,7 +282,7 @@ def test_language_model_equals_brute_force(spark, small, monkeypatch, shard):
     for i, tokens, known, base, score in want:
         r = found[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n)
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, abs=0.2)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=1e-5, abs=1e-3)
 
 
 def test_token_hashes(monkeypatch):
@@ -368,9 +368,9 @@ def test_all_links_within_three_bits_are_found(spark):
                 q ^= 1 << b
             prints.append(q)
     signed = [p - (1 << 64) if p >> 63 else p for p in dict.fromkeys(prints)]
-    found = {(r.a, r.b) for r in simhash_dedup.links(spark.createDataFrame([(p,) for p in signed], "fp bigint")).collect()}
+    found, of_bits = ({(r.a, r.b) for r in simhash_dedup.links(spark.createDataFrame([(p,) for p in signed], "fp bigint"), width).collect()} for width in (2, 1))
     mask = (1 << 64) - 1
-    assert found == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 3}
+    assert found == of_bits == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 3}
 
 
 def test_groups_awkward(awkward, empty):
@@ -424,24 +424,22 @@ def first_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @settings(deadline=None, max_examples=150)
-@given(st.text(max_size=200))
+@given(st.lists(st.one_of(st.text(max_size=60), st.sampled_from(["<|endoftext|>", " ", "\n", "<|endoftext|", "|>"])), max_size=6).map("".join))
 def test_tokens_equal_the_first_library(text):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     if not hasattr(test_tokens_equal_the_first_library, "t"):
         test_tokens_equal_the_first_library.t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        test_tokens_equal_the_first_library.t.encode_special_tokens = True
     bpe = packing.encoder()
     want = test_tokens_equal_the_first_library.t.encode(text, add_special_tokens=False).ids
     assert packing.tokens(text, bpe).tolist() == [*want, 1]
-    assert [i for part in packing.chunks(text, 5) for i in bpe.encode_ordinary(part)] == want
+    if packing.ADDED not in text:
+        assert [i for part in packing.chunks(text, 5) for i in bpe.encode_ordinary(part)] == want
 
 
 def check_pieces(pieces, docs, tokenize):

@@ -4,7 +4,9 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from scanloom.llm import mixing, packing, simhash_dedup
+from scanloom.llm import mixing, packing
+
+from test_near_dedup import brute
 
 
 def lower(text):
@@ -51,25 +53,7 @@ def test_stages(spark, tmp_path):
     once = set(by_text.values())
     assert {r.doc_id for r in out[1].collect()} == once
 
-    prints = defaultdict(list)
-    for i in once:
-        prints[simhash_dedup.fingerprint(rows[i])].append(i)
-    parent = {k: k for k in prints}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    keys = list(prints)
-    for n, a in enumerate(keys):
-        for b in keys[:n]:
-            if (a ^ b).bit_count() <= 3:
-                parent[root(a)] = root(b)
-    least = {}
-    for k in keys:
-        least[root(k)] = min(least.get(root(k), min(prints[k])), min(prints[k]))
-    assert {r.doc_id for r in out[2].collect()} == set(least.values())
+    assert {r.doc_id for r in out[2].collect()} == brute([(i, rows[i]) for i in once])
 
     report = {r.doc_id: r.copies for r in mixing.mix_report(out[2], mixing.Plan()).collect()}
     mixed = Counter(r.doc_id for r in out[3].collect())
