@@ -43,12 +43,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def spool(df: DataFrame, name: str, *parts: str) -> DataFrame:
+def spool(df: DataFrame, name: str, *parts: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: a cut of the lineage that
     survives lost executors, and a result that later passes read but don't redo.
     parts: columns with a folder for each value."""
     path = fresh_path(df.sparkSession, name)
-    df.write.partitionBy(*parts).parquet(path)
+    df.write.partitionBy(*parts).parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

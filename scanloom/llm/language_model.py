@@ -188,6 +188,12 @@ class Words:
             out[own] = _differences(self._shard(number)[1], ids[own] - self.bases[number])
         return out
 
+    def counts_of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of ids in any order; 0 of the unknown."""
+        values, back = np.unique(ids, return_inverse=True)
+        n_known = int(np.searchsorted(values, self.size))
+        return np.concatenate([self.counts(values[:n_known]), np.zeros(len(values) - n_known, dtype=np.int64)])[back]
+
     def at_share(self, share: float) -> tuple[int, float]:
         """The word at this share of all tokens, in the order of ids, and the share
         of its own tokens that lies before."""
@@ -402,10 +408,9 @@ def _kind(largest: int) -> np.dtype:
 
 
 def number_words(docs: DataFrame, words: Words) -> DataFrame:
-    """docs(doc_id, text): doc_id, held_out, n_tokens, n_known, base_score, and of
-    its tokens the ids (the vocabulary's size for the unknown) and the counts, of 4
-    or 8 bytes each."""
-    id_kind, count_kind = _kind(words.size), _kind(words.n_tokens)
+    """docs(doc_id, text): doc_id, held_out, n_tokens, n_known, base_score, and the
+    ids of its tokens (the vocabulary's size for the unknown), of 4 or 8 bytes each."""
+    id_kind = _kind(words.size)
     log_all = math.log10(words.n_tokens + words.size + 1)
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
@@ -425,11 +430,11 @@ def number_words(docs: DataFrame, words: Words) -> DataFrame:
             cut = lambda x: pa.array([x[b:e].tobytes() for b, e in zip(begins, ends, strict=True)], pa.binary())
             yield _batch(
                 doc_id=pa.array([r[0] for r in rows], id_type), held_out=pa.array([r[1] for r in rows], pa.bool_()), n_tokens=pa.array(sizes),
-                n_known=pa.array(known), base_score=pa.array(base), ids=cut(ids.astype(id_kind)[at]), counts=cut(counts.astype(count_kind)[at]),
+                n_known=pa.array(known), base_score=pa.array(base), ids=cut(ids.astype(id_kind)[at]),
             )
 
     narrow = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, ids binary, counts binary"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, ids binary"
     return narrow.mapInArrow(run, schema)
 
 
@@ -595,19 +600,19 @@ def train(ids: DataFrame, words: Words) -> Model:
 
 def score(ids: DataFrame, model: Model) -> DataFrame:
     """One row per document of number_words(), with the model's score."""
-    id_kind, count_kind = _kind(model.words.size), _kind(model.words.n_tokens)
+    id_kind = _kind(model.words.size)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _runs(batches):
             table = pa.Table.from_batches(held).select(names)
             numbers, first = _numbers(held, "ids", id_kind)
-            counts, _ = _numbers(held, "counts", count_kind)
-            found = np.add.reduceat(model.log10_probabilities(numbers, counts, first), np.flatnonzero(first))
+            p = model.log10_probabilities(numbers, model.words.counts_of(numbers), first)
+            found = np.add.reduceat(p, np.flatnonzero(first))
             yield from table.append_column("score", pa.array(found)).combine_chunks().to_batches()
 
     types = dict(ids.dtypes)
-    return ids.select(*names, "ids", "counts").mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names) + ", score double")
+    return ids.select(*names, "ids").mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names) + ", score double")
 
 
 def op5_trie_language_model(spark, sf_dir: str) -> DataFrame:
@@ -615,9 +620,9 @@ def op5_trie_language_model(spark, sf_dir: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, "trie"))
     folder = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
     folder = folder.replace("file:/", "file:///") if folder.startswith("file:/") and not folder.startswith("file://") else folder
-    counts = spool(count_words(docs.where(~is_held_out(F.col("doc_id")))), "words")
+    counts = spool(count_words(docs.where(~is_held_out(F.col("doc_id")))), "words", codec="zstd")
     words = build_words(counts, folder)
-    ids = spool(number_words(docs, words), "ids")
+    ids = spool(number_words(docs, words), "ids", codec="zstd")
     found = score(ids, train(ids, words))
     return found.withColumn("train_tokens", F.lit(words.n_tokens).cast("bigint"))
 
