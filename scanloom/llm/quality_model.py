@@ -9,10 +9,10 @@ P are trusted texts (quality 1), U are any training texts whatever their labels:
 tables have no source that is marked as the web. Labels are read of training rows only
 (crc32 of the id modulo FOLDS is not 0), and labels other than 1 not at all.
 
-p is estimated from P and U alone, by the best bin: a network of the same kind learns
-to tell P from U on one half of them, and on the other half p is the least ratio of
-U's to P's share of scores above a threshold, over all thresholds, each ratio raised by
-a bound of its sampling error.
+p is estimated from P and U alone, by the best bin: networks of the same kind learn to
+tell P from U on one half of them each and score the other half, and p is the ratio of
+U's to P's share of scores above a threshold at the threshold where that ratio, raised
+by a bound of its sampling error, is least.
 
 The model is fitted on a bounded sample: at most POSITIVES and UNLABELLED ids, those of
 the least hash, so that it doesn't depend on partitions, and of each id the text of the
@@ -43,6 +43,8 @@ FOLDS = 5
 POSITIVES, UNLABELLED = 6000, 12000
 HIDDEN, STEPS, RATE, DECAY, SEED = 24, 400, 0.01, 1e-4, 7
 THRESHOLD = 0.3
+#: Steps of the network that tells P from U: few, so that it doesn't learn its rows by heart.
+JUDGE_STEPS = 60
 
 # Byte classes: 0 others, 1 a-z, 2 A-Z, 3 digits, 4 space, 5 line feed, 6 . , 7 other
 # sentence marks, 8 # * $ % &, 9 | < >, 10 beyond ASCII
@@ -99,7 +101,7 @@ class Model:
         self.prior = prior
         self.weights: list[np.ndarray] | None = None
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS) -> Model:
         if not len(positive) or not len(unlabelled):
             return self
         rng = np.random.default_rng(SEED)
@@ -110,7 +112,7 @@ class Model:
             rng.normal(0, 1 / np.sqrt(WIDTH), (WIDTH, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1),
         ]
         first, second = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights]
-        for step in range(1, STEPS + 1):
+        for step in range(1, steps + 1):
             p, u = (x[rng.integers(0, len(x), min(len(x), 1024))] for x in (x_p, x_u))
             grads = self._gradients(p, u)
             for i, g in enumerate(grads):
@@ -173,8 +175,12 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of class 1 in the unlabelled rows, by the best bin."""
     if min(len(positive), len(unlabelled)) < 4:
         return 0.5
-    judge = Model(None).fit(positive[::2], unlabelled[::2])
-    p, u = np.sort(judge.score(positive[1::2])), np.sort(judge.score(unlabelled[1::2]))
+    scores: list[list[np.ndarray]] = [[], []]
+    for half in (0, 1):
+        judge = Model(None).fit(positive[half::2], unlabelled[half::2], JUDGE_STEPS)
+        for out, rows in zip(scores, (positive, unlabelled), strict=True):
+            out.append(judge.score(rows[1 - half :: 2]))
+    p, u = (np.sort(np.concatenate(x)) for x in scores)
     at = np.unique(p)
     share_p, share_u = (1 - np.searchsorted(x, at) / len(x) for x in (p, u))
     slack = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
