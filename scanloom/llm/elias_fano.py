@@ -45,8 +45,8 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits[place.astype(np.int64)] = 1
     packed = [np.zeros(0, dtype=np.uint8)]
     for i in range(0, n, 1 << 16):  # a multiple of eight numbers, so of whole bytes
-        part = values[i : i + (1 << 16), None] >> np.arange(low, dtype=np.uint64)[None, :]
-        packed.append(np.packbits((part & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little"))
+        part = values[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (low + 7) // 8]
+        packed.append(np.packbits(np.unpackbits(part, axis=1, count=low, bitorder="little").ravel(), bitorder="little"))
     return {
         "shape": np.array([n, low], dtype=np.uint64),
         "high": np.packbits(bits, bitorder="little"),
@@ -144,6 +144,16 @@ class Sequence:
             shift += np.where(beyond, width, 0)
         return at + shift + _SELECT[(window & np.uint64(127)).astype(np.int64), np.clip(nth - 1, 0, 6)]
 
+    def _run_of_ones(self, at: np.ndarray) -> np.ndarray:
+        """The number of ones of the unary bits from `at` on, before the next zero."""
+        p = np.minimum(at, (len(self.high) - 8) * 8)
+        w = (_words(self.high)[p >> 3] >> (p & 7).astype(np.uint64)) & _ONES
+        run = np.bitwise_count(w & ~(w + np.uint64(1))).astype(np.int64)
+        long = np.flatnonzero((run == WINDOW) | (p < at))
+        if len(long):
+            run[long] = self._nth(at[long], np.ones(len(long), dtype=np.int64), False) - at[long]
+        return run
+
     def _is_sparse(self, blocks: np.ndarray) -> bool:
         """blocks: of each query, sorted."""
         if not len(blocks):
@@ -161,8 +171,7 @@ class Sequence:
         at[later] = self._nth(start[later], zeros[later], False) + 1
         low = blocks * BLOCK + (at - start) - zeros
         limit = np.minimum((blocks + 1) * BLOCK, self.n)
-        run = self._nth(at, np.ones(len(at), dtype=np.int64), False) - at
-        high = end = np.minimum(low + run, limit)
+        high = end = np.minimum(low + self._run_of_ones(at), limit)
         wanted = queries & np.uint64((1 << self.low) - 1)
         while len(open_ := np.flatnonzero(low < high)):
             middle = (low[open_] + high[open_]) >> 1

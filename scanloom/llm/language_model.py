@@ -234,6 +234,9 @@ class Level:
         its context's children, its own share, and the context's g."""
         order = np.argsort(keys)
         keys = keys[order]
+        first = np.ones(len(keys), dtype=bool)
+        np.not_equal(keys[1:], keys[:-1], out=first[1:])
+        keys = keys[first]  # each once
         pair, place = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int32 if self.longest < 2**31 else np.int64)
         share, free = np.zeros(len(keys), dtype=np.float32), np.ones(len(keys), dtype=np.float32)
         bits = np.uint64(self.bits)
@@ -261,11 +264,11 @@ class Level:
             free[own] = g[back]
             place[own] = np.where(pair[own] >= 0, pair[own] - start[back], 0)
         del keys
+        of_key = np.empty(len(order), dtype=np.int64)
+        of_key[order] = np.cumsum(first) - 1
 
         def back_in_order(x: np.ndarray) -> np.ndarray:
-            out = np.empty_like(x)
-            out[order] = x
-            return out
+            return x[of_key]
 
         return back_in_order(pair), back_in_order(place), back_in_order(share), back_in_order(free)
 
@@ -344,7 +347,7 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[new], np.add.reduceat(counts, new)
+    return keys[new], np.add.reduceat(counts, new, dtype=np.int64)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[bytes]]]:
@@ -468,7 +471,7 @@ def _pack(keys: np.ndarray) -> bytes:
     return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _unpack(data: bytes | pa.Buffer) -> np.ndarray:
     planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
@@ -491,9 +494,13 @@ def _count_keys(ids: DataFrame, kind: np.dtype, keys_of: Callable[[np.ndarray, n
 
 def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The keys of a shard and their counts over all rows."""
-    keys = np.concatenate([_unpack(x.as_py()) for x in table["keys"]])
-    counts = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in table["counts"]])
-    return _merged(keys, counts.astype(np.int64))
+    sizes = [len(x.as_buffer()) // 8 for x in table["keys"]]
+    keys, counts, at = np.empty(sum(sizes), dtype=np.uint64), np.empty(sum(sizes), dtype=np.uint32), 0
+    for k, c, n in zip(table["keys"], table["counts"], sizes, strict=True):
+        keys[at : at + n] = _unpack(k.as_buffer())
+        counts[at : at + n] = np.ascontiguousarray(np.frombuffer(c.as_buffer(), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        at += n
+    return _merged(keys, counts)
 
 
 def build_level(counted: DataFrame, level: Level, context_counts: Callable[[np.ndarray], np.ndarray]) -> Level:
