@@ -248,7 +248,19 @@ def write(uri: str, arrays: dict[str, np.ndarray]) -> None:
     store.move(own, path)
 
 
-def open_mapped(uri: str) -> dict[str, np.ndarray]:
+class Mapped(dict):
+    """Named arrays of a memory-mapped file."""
+
+    def __init__(self, memory: mmap.mmap):
+        super().__init__()
+        self.memory = memory
+
+    def release(self) -> None:
+        """Take the pages read so far out of this process; the next read maps them again."""
+        self.memory.madvise(mmap.MADV_DONTNEED)
+
+
+def open_mapped(uri: str) -> Mapped:
     """The arrays of a file, memory-mapped. A file in a store that can't be mapped is
     copied to an unnamed temporary file first, which goes when it is unmapped."""
     from pyarrow import fs
@@ -263,10 +275,10 @@ def open_mapped(uri: str) -> dict[str, np.ndarray]:
                 file.write(block)
         file.flush()
     with file:
-        data = np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), dtype=np.uint8)
+        out = Mapped(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+    data = np.frombuffer(out.memory, dtype=np.uint8)
     size = int(data[:8].view("<u8")[0])
     base = -(-(8 + size) // 64) * 64
-    out = {}
     for name, (kind, at, n) in json.loads(data[8 : 8 + size].tobytes()).items():
         out[name] = data[base + at : base + at + n * np.dtype(kind).itemsize].view(kind)
     return out

@@ -45,7 +45,7 @@ FOLDS, HELD_OUT = 7, 2
 MIN_COUNT, DISCOUNT = 1, 0.75
 END = 0  # its hash; a word has another
 WORDS_A_SHARD = 1 << 20
-TOKENS_A_SHARD = 1 << 22
+TOKENS_A_SHARD = 1 << 21
 #: Bytes of text and numbered tokens that a task looks up at a time.
 TEXT_BATCH, ID_BATCH = 1 << 23, 3 << 19
 #: Distinct words that a task counts before it passes them on.
@@ -134,7 +134,7 @@ def _text(scalar: pa.StringScalar) -> bytes:
 
 
 @lru_cache(maxsize=4096)
-def _mapped(uri: str) -> dict[str, np.ndarray]:
+def _mapped(uri: str) -> ef.Mapped:
     return ef.open_mapped(uri)
 
 
@@ -226,7 +226,7 @@ class Level:
     split: dict[int, tuple[int, int]] = field(default_factory=dict)  # contexts that a bound cuts: code of g, first pair
     longest: int = 0  # children of a context
 
-    def _arrays(self, number: int) -> dict[str, np.ndarray]:
+    def _arrays(self, number: int) -> ef.Mapped:
         return _mapped(f"{self.folder}/{self.name}-{number}")
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -258,6 +258,7 @@ class Level:
                 asked, found = asked[found >= 0], found[found >= 0]
                 pair[own.start + asked] = self.bases[number] + found
                 share[own.start + asked] = _VALUES[arrays["share"][found]]
+                arrays.release()  # a task goes through all shards, and would hold the whole model
             for i in np.flatnonzero(np.isin(contexts, self._split_contexts())) if self.split else ():
                 code, start[i] = self.split[int(contexts[i])]
                 g[i] = _VALUES[code]
