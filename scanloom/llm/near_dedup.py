@@ -44,7 +44,7 @@ from .language_model import token_hashes
 SHINGLE = 5
 CELLS, COARSE = 256, 32
 #: Documents of a shared shingle that are compared in one task, and pairs at a time.
-BLOCK, PAIRS = 1024, 1 << 20
+BLOCK, PAIRS = 1024, 1 << 19
 #: Pairs whose cells are compared at a time.
 PART = 1 << 14
 #: Documents whose shingles are counted to find the common ones, and how many are kept.
@@ -209,35 +209,82 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b")))
 
 
-def _within_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of members that share a shingle: the pairs of different components that
-    sizes, places and counts by cell leave."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by token, low and high, cut between groups."""
+    kept = None
     for batch in batches:
-        members = batch.column("m")
-        flat = members.flatten()
-        n, pos, fp, root, block = (flat.field(k).to_numpy() for k in ("n", "pos", "fp", "root", "block"))
-        cells = _matrix(flat.field("cells"), CELLS)
-        sizes = np.diff(members.offsets.to_numpy())
-        later = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat)) - 1  # partners behind each member
-        within = np.repeat(batch.column("within").to_numpy(zero_copy_only=False), sizes)
+        rows = pa.Table.from_batches([batch])
+        rows = rows if kept is None else pa.concat_tables([kept, rows])
+        starts = _group_starts(rows)
+        if len(starts) > 1:
+            yield rows.slice(0, starts[-1])
+        kept = rows.slice(starts[-1]).combine_chunks()
+    if kept is not None:
+        yield kept
+
+
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    token, low, high = (rows[k].to_numpy() for k in ("token", "low", "high"))
+    new = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where each pair occurs first in sorted order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order[new]
+
+
+def _within_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of shared shingles, sorted by group: the pairs of different components
+    that sizes, places and counts by cell leave. Holds a group and a batch at a time."""
+    found, n_found = [], 0
+
+    def told() -> pa.RecordBatch:
+        a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        once = _distinct(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], ["a", "b"])
+
+    for rows in _whole_groups(batches):
+        starts, root = _group_starts(rows), rows["root"].to_numpy()
+        sizes = np.diff(starts, append=len(rows))
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        if not mixed.any():
+            continue
+        rows = rows.filter(pa.array(np.repeat(mixed, sizes))).combine_chunks()
+        sizes = sizes[mixed]
+        n, pos, fp, root, block, low, high = (rows[k].to_numpy() for k in ("n", "pos", "fp", "root", "block", "low", "high"))
+        cells = _matrix(rows["cells"], CELLS)
+        within = low == high
+        later = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(n)) - 1  # partners behind each member
         at = 0
-        while at < len(flat):
+        while at < len(n):
             upto = np.cumsum(later[at : at + BLOCK])
             end = at + max(1, int(np.searchsorted(upto, PAIRS, "right")))
             count = later[at:end]
             x = np.repeat(np.arange(at, at + len(count)), count)
             y = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count) + x + 1
-            both = n[x] + n[y]
             ok = (root[x] != root[y]) & (within[x] | (block[x] != block[y]))
-            ok &= (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])) & (9 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= 4 * both)
+            x, y = x[ok], y[ok]
+            both = n[x] + n[y]
+            ok = (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])) & (9 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= 4 * both)
             x, y, both = x[ok], y[ok], both[ok]
-            _, first = np.unique(np.stack([fp[x], fp[y]]), axis=1, return_index=True)  # a pair once, however many shingles it shares
-            x, y, both = x[first], y[first], both[first]
+            a, b = np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])
+            first = _distinct(a, b)  # a pair once, however many shingles it shares
+            x, y, both, a, b = (v[first] for v in (x, y, both, a, b))
             near = np.concatenate([9 * np.abs(cells[x[i : i + PART]] - cells[y[i : i + PART]]).sum(axis=1, dtype=np.int64) <= both[i : i + PART] for i in range(0, len(x), PART)] or [x > 0])
-            pairs = np.stack([np.minimum(fp[x], fp[y])[near], np.maximum(fp[x], fp[y])[near]])
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            if near.any():
+                found.append((a[near], b[near]))
+                n_found += len(found[-1][0])
+            if n_found > PAIRS:
+                yield told()
+                found, n_found = [], 0
             at = end
+    if found:
+        yield told()
 
 
 def links(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -263,10 +310,10 @@ def links(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     each = each.withColumns({"block": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     each = each.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    member = F.struct("n", "pos", "fp", "root", "block", "cells")
-    groups = each.groupBy("token", "low", "high").agg(F.collect_list(member).alias("m"), F.min("root").alias("least"), F.max("root").alias("most"))
-    apart = groups.where("least <> most").select("m", (F.col("low") == F.col("high")).alias("within"))
-    rest = apart.mapInArrow(_within_groups, "a bigint, b bigint").distinct()
+    # rows, not lists of them, go to the tasks, which hold a batch and a group at a time
+    each = each.select("token", "low", "high", "n", "pos", "fp", "root", "block", "cells")
+    sorted_ = each.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    rest = sorted_.mapInArrow(_within_groups, "a bigint, b bigint").distinct()
     more = spool(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     return spool(found.unionByName(_verified(more, nodes, docs)), "links")
 

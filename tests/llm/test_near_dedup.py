@@ -61,3 +61,33 @@ def test_chains_and_large_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = [r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()]
     assert sorted(found) == sorted(brute(rows))
+
+
+def test_groups_over_batches():
+    """Pairs within groups are the same wherever the batches are cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    n = 60
+    token = np.sort(rng.integers(0, 9, n))
+    root = rng.integers(0, 3, n)
+    cells = rng.integers(0, 2, (6, near_dedup.CELLS)).astype(np.uint8)
+    fp = rng.permutation(n)
+    rows = pa.RecordBatch.from_arrays(
+        [
+            *(pa.array(x.astype(np.int64)) for x in (token, 0 * token, 0 * token, 100 + 0 * token, rng.integers(0, 4, n), fp, root, 0 * token)),
+            pa.array([cells[i % 6].tobytes() for i in fp], pa.binary()),
+        ],
+        ["token", "low", "high", "n", "pos", "fp", "root", "block", "cells"],
+    )
+    apart = 9 * np.abs(cells[:, None].astype(int) - cells[None]).sum(axis=2) <= 200
+    want = {
+        (min(fp[i], fp[j]), max(fp[i], fp[j]))
+        for i in range(n) for j in range(i) if token[i] == token[j] and root[i] != root[j] and apart[fp[i] % 6, fp[j] % 6]
+    }
+    for size in (1, 7, n):
+        parts = [rows.slice(i, size) for i in range(0, n, size)]
+        found = [p for out in near_dedup._within_groups(iter(parts)) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+        assert set(found) == want and len(found) == len(want)
+    assert list(near_dedup._within_groups(iter([]))) == []
