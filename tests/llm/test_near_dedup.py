@@ -68,6 +68,8 @@ def test_groups_over_batches():
     import numpy as np
     import pyarrow as pa
 
+    from scanloom.llm import near_dedup
+
     rng = np.random.default_rng(7)
     n = 60
     token = np.sort(rng.integers(0, 9, n))
