@@ -77,6 +77,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, to be joined by a shuffle even where it is small: each broadcast takes several
+    MB of the driver's heap and a thread, and rounds of joins would make hundreds."""
+    return df.hint("merge")
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of df as one struct."""
     return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
@@ -124,7 +130,7 @@ def least_of_components(nodes: DataFrame) -> DataFrame:
     A null is the least id only where there is no other."""
     least = nodes.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("id"), "fp")).alias("keep"))
     least = least.select("root", F.col("keep.id").alias("component_id"), F.col("keep.fp").alias("keep_fp"))
-    return nodes.join(least, "root").drop("root", "first_id")
+    return nodes.join(shuffled(least), "root").drop("root", "first_id")
 
 
 def documents_kept(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame, classes: DataFrame, key_of) -> DataFrame:

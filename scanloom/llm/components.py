@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_spool, spool
+from .common import drop_spool, shuffled, spool
 
 
 def _minima(links: DataFrame) -> DataFrame:
@@ -26,11 +26,11 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        large = both.join(_minima(both), "u").where("v > u").select("v", F.col("m").alias("u")).distinct()
+        large = both.join(shuffled(_minima(both)), "u").where("v > u").select("v", F.col("m").alias("u")).distinct()
         # small star: every node's links go down; each lower neighbour is linked to the least of them
         down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("v"), F.col("m").alias("u")).where("v <> u")
+        small = down.join(shuffled(least), "u").select(F.col("v").alias("v"), F.col("m").alias("u")).where("v <> u")
         small = small.unionByName(least.select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct()
         after = spool(small, "links")
         new = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash_dedup
-from .common import documents_kept, join_groups, least_of_components, quoted, split_by_keys, spool
+from .common import documents_kept, join_groups, least_of_components, quoted, shuffled, split_by_keys, spool
 from .components import components
 from .language_model import token_hashes
 
@@ -170,7 +170,7 @@ def _cells_allow(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of pairs(a, b) that CELLS counts leave."""
     of_a = nodes.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("cells").alias("x"))
     of_b = nodes.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("cells").alias("y"))
-    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y")
+    both = pairs.join(shuffled(of_a), "a").join(shuffled(of_b), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y")
     return both.mapInArrow(lambda batches: _not_far(batches, CELLS), "a bigint, b bigint")
 
 
@@ -191,21 +191,21 @@ def _verified(left: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     # one document of each set, told by its id; only those are cut into shingles again
     ends = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    ids = spool(nodes.select("fp", "first_id").join(ends, "fp"), "ends")
+    ids = spool(nodes.select("fp", "first_id").join(shuffled(ends), "fp"), "ends")
     asked = split_by_keys(docs, "doc_id", ids, "first_id")[1].select("text").mapInArrow(sets, "fp bigint, hashes binary")
-    whole = spool(asked.join(ids.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    whole = spool(asked.join(shuffled(ids.select("fp")), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     whole_a, whole_b = (whole.select(F.col("fp").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "p"), ("b", "q")))
-    return spool(left.join(whole_a, "a").join(whole_b, "b").select("a", "b", "p", "q").mapInArrow(linked, "a bigint, b bigint"), "near-links")
+    return spool(left.join(shuffled(whole_a), "a").join(shuffled(whole_b), "b").select("a", "b", "p", "q").mapInArrow(linked, "a bigint, b bigint"), "near-links")
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that operator 6 finds: each set with one of its fingerprint, and
     those of fingerprints within its bits."""
     ones = spool(nodes.groupBy("sim").agg(F.min("fp").alias("one")), "sims")
-    same = nodes.select("fp", "sim").join(ones, "sim").where("fp <> one").select(F.col("one").alias("a"), F.col("fp").alias("b"))
+    same = nodes.select("fp", "sim").join(shuffled(ones), "sim").where("fp <> one").select(F.col("one").alias("a"), F.col("fp").alias("b"))
     found = simhash_dedup.links(ones.select(F.col("sim").alias("fp")))
     a, b = (ones.select(F.col("sim").alias(k), F.col("one").alias(f"one_{k}")) for k in "ab")
-    near = found.join(a, "a").join(b, "b")
+    near = found.join(shuffled(a), "a").join(shuffled(b), "b")
     return same.unionByName(near.select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b")))
 
 
@@ -304,8 +304,8 @@ def links(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     found = _verified(spool(_cells_allow(first, nodes), "close"), nodes, docs)
 
     roots = components(found).withColumnRenamed("node", "fp")
-    known = nodes.select("fp", "cells").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    each = join_groups(met.drop("coarse"), shared.select("token", "group_size"), "token", n_met).join(known, "fp")
+    known = nodes.select("fp", "cells").join(shuffled(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    each = join_groups(met.drop("coarse"), shared.select("token", "group_size"), "token", n_met).join(shuffled(known), "fp")
     blocks = F.ceil(F.col("group_size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     each = each.withColumns({"block": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
@@ -314,7 +314,7 @@ def links(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     each = each.select("token", "low", "high", "n", "pos", "fp", "root", "block", "cells")
     sorted_ = each.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     rest = sorted_.mapInArrow(_within_groups, "a bigint, b bigint").distinct()
-    more = spool(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    more = spool(rest.join(shuffled(first), ["a", "b"], "left_anti"), "pairs")
     return spool(found.unionByName(_verified(more, nodes, docs)), "links")
 
 
@@ -326,6 +326,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = spool(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size"), *firsts), "nodes")
     once = prints.select("fp", "n", "coarse", "prefix").dropDuplicates(["fp"])
     roots = components(links(once, nodes, narrow))
-    classes = nodes.select("fp", "first_id", "group_size").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    classes = nodes.select("fp", "first_id", "group_size").join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left")
     classes = spool(least_of_components(classes.withColumn("root", F.coalesce("root", "fp"))), "classes")
     return documents_kept(docs, id_col, text_col, prints.select("doc_id", "fp"), classes, text_key)
