@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_model, license_scan, mixing, packing, quality_model, quality_rules, sharding, simhash_dedup, url_filter
+from . import exact_dedup, language_model, license_scan, mixing, packing, quality_model, quality_rules, ranking, sharding, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_source_budgets": mixing.op1_source_budgets,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_cost_packing": packing.op8_cost_packing,
     "op9_byte_shards": sharding.op9_byte_shards,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_tied_places": ranking.op11_tied_places,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_quality_cascade": quality_rules.ORACLE,
     "op7_url_cascade": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_tied_places": ranking.ORACLE,
 }
