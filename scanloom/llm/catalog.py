@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_model, license_scan, mixing, packing, quality_model, quality_rules, ranking, sharding, simhash_dedup, url_filter
+from . import embedding_dedup, exact_dedup, language_model, license_scan, mixing, packing, quality_model, quality_rules, ranking, resampling, sharding, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_source_budgets": mixing.op1_source_budgets,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_byte_shards": sharding.op9_byte_shards,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_tied_places": ranking.op11_tied_places,
+    "op12_target_resampling": resampling.op12_target_resampling,
+    "op13_embedding_tiles": embedding_dedup.op13_embedding_tiles,
 }
 
 ORACLES = {
@@ -25,4 +27,5 @@ ORACLES = {
     "op7_url_cascade": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
     "op11_tied_places": ranking.ORACLE,
+    "op12_target_resampling": resampling.ORACLE,
 }
