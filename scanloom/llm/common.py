@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,21 @@ def drop_spool(df: DataFrame) -> None:
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs that start hand at most so many rows at a time to Python and take as
+    many at a time from Parquet: for rows that are long."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name in names:
+            spark.conf.set(name, str(rows))
+        yield
+    finally:
+        for name in names:
+            spark.conf.set(name, before[name])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; lower() is faster but also folds other alphabets, so it serves
     the texts that are pure ASCII."""

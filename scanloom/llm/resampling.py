@@ -30,16 +30,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from ..operators.ordering import numbered
-from .common import documents, quoted, shuffled, spool
+from .common import documents, quoted, shuffled, small_batches, spool
 from .ranking import CRC32
 
 BUCKETS, GRAM = 10_000, 2
 #: Numbers in a block, at which it is written; bytes of a text at a time; words whose
-#: checksums a task remembers.
-BLOCK, PART, KNOWN = 1 << 17, 1 << 20, 1 << 17
+#: checksums a task remembers; texts and blocks that a task takes at a time.
+BLOCK, PART, KNOWN, TEXTS, BLOCKS = 1 << 14, 1 << 20, 1 << 16, 512, 64
+#: How a block holds buckets and counts.
+NUMBER = np.dtype("<u4")
 # Word characters are 0-9, a-z and all beyond ASCII; A-Z are folded.
 _WORD = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 
@@ -88,11 +90,12 @@ def count_buckets(text: str | None, buckets: int, alone: _Checksums, before: _Ch
 
 def csr_blocks(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """docs(doc_id, text): the count matrix, a row for each block: doc_ids, n_words and
-    n_features of its documents, ends (where each one's row ends), cols and counts."""
+    n_features of its documents, ends (where each one's row ends), cols and counts, both
+    as NUMBERs."""
     schema = StructType([
         StructField("doc_ids", ArrayType(docs.schema["doc_id"].dataType)),
         *[StructField(c, ArrayType(LongType())) for c in ("n_words", "n_features", "ends")],
-        StructField("cols", ArrayType(IntegerType())), StructField("counts", ArrayType(LongType())),
+        StructField("cols", BinaryType()), StructField("counts", BinaryType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +108,9 @@ def csr_blocks(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 if size >= BLOCK or i + 1 == batch.num_rows:
                     ends = np.cumsum([len(h[2]) for h in held])
                     values = [batch.column(0).slice(start, len(held)), *(pa.array([h[k] for h in held], pa.int64()) for k in (0, 1)), pa.array(ends, pa.int64())]
-                    values += [pa.array(np.concatenate([h[k] for h in held])) for k in (2, 3)]
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values], schema.names)
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
+                    lists += [pa.array([np.concatenate([h[k] for h in held]).astype(NUMBER).tobytes()], pa.binary()) for k in (2, 3)]
+                    yield pa.RecordBatch.from_arrays(lists, schema.names)
                     start, held, size = i + 1, [], 0
 
     return docs.mapInArrow(run, schema)
@@ -118,8 +122,8 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            cols, counts = (c.flatten().to_numpy() for c in batch.columns)
-            np.add.at(total, cols, counts)
+            for cols, counts in zip(*batch.columns, strict=True):
+                np.add.at(total, np.frombuffer(cols.as_buffer(), NUMBER), np.frombuffer(counts.as_buffer(), NUMBER))
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["bucket", "n"])
 
@@ -150,8 +154,9 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, n_words, n_features, ends, cols, counts = (c[i].values for c in batch.columns)
-                sums = np.concatenate([[0], np.cumsum(counts.to_numpy() * gain[cols.to_numpy()])])
+                ids, n_words, n_features, ends = (c[i].values for c in batch.columns[:4])
+                cols, counts = (np.frombuffer(c[i].as_buffer(), NUMBER) for c in batch.columns[4:])
+                sums = np.concatenate([[0], np.cumsum(counts * gain[cols])])
                 ends = np.concatenate([[0], ends.to_numpy()])
                 weight = (sums[ends[1:]] - sums[ends[:-1]]) // np.maximum(n_features.to_numpy(), 1)
                 yield pa.RecordBatch.from_arrays([ids, n_words, n_features, pa.array(weight)], schema.names)
@@ -172,9 +177,11 @@ def draw(docs: DataFrame, targets: DataFrame, percent: int, least: int = 20, see
     of least words or more that are drawn, else null."""
     narrow = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     wanted = targets.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
-    blocks = spool(csr_blocks(narrow, buckets), "csr")
-    gain = gains(column_sums(blocks, buckets), column_sums(csr_blocks(wanted, buckets), buckets), buckets)
-    scored = spool(weights(blocks, gain).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "scored")
+    with small_batches(docs.sparkSession, TEXTS):
+        blocks, goal = (spool(csr_blocks(x, buckets), "csr", codec="zstd") for x in (narrow, wanted))
+    with small_batches(docs.sparkSession, BLOCKS):
+        gain = gains(column_sums(blocks, buckets), column_sums(goal, buckets), buckets)
+        scored = spool(weights(blocks, gain).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "scored")
     may = scored.where(F.col("n_words") >= least)
     n = may.count() * percent // 100
     ranked = numbered(may, F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("n_words"), F.col("n_features"), name="rank")

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,7 +80,8 @@ def test_blocks_hold_the_whole_matrix(spark, monkeypatch):
     assert len(blocks) > 5
     rows = [(i, n) for b in blocks for i, n in zip(b.doc_ids, b.n_features)]
     assert rows == [(i, len(features(t)[1])) for i, t in docs]
-    assert all(b.ends[-1] == len(b.cols) == len(b.counts) and sum(b.counts) == sum(b.n_features) for b in blocks)
+    assert all(4 * b.ends[-1] == len(b.cols) == len(b.counts) for b in blocks)
+    assert all(np.frombuffer(b.counts, resampling.NUMBER).sum() == sum(b.n_features) for b in blocks)
 
 
 def test_resample_returns_rows(spark):
