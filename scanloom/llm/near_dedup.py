@@ -13,9 +13,11 @@ closure of the links. The result is exact, up to collisions of 64-bit hashes.
    in the order, which changes the cost, not the result. Of documents that meet in a
    prefix each is compared to one of them, another for each shingle.
 3. Once these candidates are verified and their components known, documents of
-   different components that meet in a prefix are compared to each other: a large group
-   of near copies is one component by then, and costs no square of its size. Members of
-   a prefix shingle go into blocks of BLOCK, and a task gets two blocks at most.
+   different components that meet in a prefix are compared to each other. A shingle's
+   members are told apart by size first, as sizes must be alike, and only groups of more
+   than one component go on: a large group of near copies is one component by then, and
+   none of its members is exchanged again. Members of a group go into blocks of BLOCK, a
+   task gets two blocks at most, and in it only pairs of different components are formed.
 
 A pair is dropped early if its sizes, or the places of the shared shingle, rule a
 similarity of 4/5 out, or by counts of shingles by hash modulo COARSE or CELLS: their
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash_dedup
-from .common import documents_kept, join_groups, least_of_components, quoted, shuffled, split_by_keys, spool
+from .common import documents_kept, join_groups, least_of_components, quoted, shuffled, small_batches, split_by_keys, spool
 from .components import components
 from .language_model import token_hashes
 
@@ -49,6 +51,10 @@ BLOCK, PAIRS = 1024, 1 << 19
 PART = 1 << 14
 #: Documents whose shingles are counted to find the common ones, and how many are kept.
 SAMPLE, COMMON = 5000, 1 << 18
+#: Sizes are alike if they differ by less than this factor; above 5/4.
+ALIKE = 1.3
+#: Texts that a task takes at a time.
+TEXTS = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,25 +255,24 @@ def _within_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], ["a", "b"])
 
     for rows in _whole_groups(batches):
-        starts, root = _group_starts(rows), rows["root"].to_numpy()
-        sizes = np.diff(starts, append=len(rows))
-        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-        if not mixed.any():
-            continue
-        rows = rows.filter(pa.array(np.repeat(mixed, sizes))).combine_chunks()
-        sizes = sizes[mixed]
-        n, pos, fp, root, block, low, high = (rows[k].to_numpy() for k in ("n", "pos", "fp", "root", "block", "low", "high"))
-        cells = _matrix(rows["cells"], CELLS)
+        token, low, high, root = (rows[k].to_numpy() for k in ("token", "low", "high", "root"))
+        rows = rows.take(pa.array(np.lexsort((root, high, low, token)))).combine_chunks()
+        n, pos, fp, root, block, low, high, upper = (rows[k].to_numpy() for k in ("n", "pos", "fp", "root", "block", "low", "high", "upper"))
+        starts, cells = _group_starts(rows), _matrix(rows["cells"], CELLS)
         within = low == high
-        later = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(n)) - 1  # partners behind each member
+        # partners of a member: those of its group behind its own component
+        runs = np.union1d(starts, np.flatnonzero(root[1:] != root[:-1]) + 1)
+        run_end, group_end = (np.repeat(np.append(x[1:], len(n)), np.diff(x, append=len(n))) for x in (runs, starts))
+        later = group_end - run_end
         at = 0
         while at < len(n):
             upto = np.cumsum(later[at : at + BLOCK])
             end = at + max(1, int(np.searchsorted(upto, PAIRS, "right")))
             count = later[at:end]
             x = np.repeat(np.arange(at, at + len(count)), count)
-            y = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count) + x + 1
-            ok = (root[x] != root[y]) & (within[x] | (block[x] != block[y]))
+            y = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count) + run_end[x]
+            ok = upper[x] | upper[y]
+            ok &= within[x] | (block[x] != block[y])
             x, y = x[ok], y[ok]
             both = n[x] + n[y]
             ok = (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])) & (9 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= 4 * both)
@@ -287,6 +292,19 @@ def _within_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield told()
 
 
+def open_members(met: DataFrame, known: DataFrame, n_met: int) -> DataFrame:
+    """met(token, fp, n, pos), known(fp, root): the members (token, fp, n, pos, upper,
+    group_size) of shared shingles and sizes alike that belong to more than one component.
+    A member is in the group of its size and, not upper, in the next one's; token: of both."""
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ALIKE))).cast("int")
+    sides = F.explode(F.array(F.struct(step.alias("size"), F.lit(True).alias("upper")), F.struct((step + 1).alias("size"), F.lit(False).alias("upper"))))
+    sized = met.select("token", "fp", "n", "pos", sides.alias("s")).select(F.xxhash64("token", "s.size").alias("token"), "fp", "n", "pos", "s.upper")
+    rooted = sized.select("token", "fp").join(shuffled(known.select("fp", "root")), "fp")
+    groups = rooted.groupBy("token").agg(F.count("*").alias("group_size"), F.min("root").alias("least"), F.max("root").alias("most"))
+    mixed = spool(groups.where("least < most").select("token", "group_size"), "mixed")
+    return join_groups(split_by_keys(sized, "token", mixed, "token")[1], mixed, "token", 2 * n_met)
+
+
 def links(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between different sets, enough to join all that are connected."""
     entries = prints.select("fp", "n", "coarse", F.posexplode("prefix").alias("pos", "token"))
@@ -304,14 +322,14 @@ def links(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     found = _verified(spool(_cells_allow(first, nodes), "close"), nodes, docs)
 
     roots = components(found).withColumnRenamed("node", "fp")
-    known = nodes.select("fp", "cells").join(shuffled(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    each = join_groups(met.drop("coarse"), shared.select("token", "group_size"), "token", n_met).join(shuffled(known), "fp")
+    known = spool(nodes.select("fp", "cells").join(shuffled(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
+    each = open_members(met, known, n_met).join(shuffled(known), "fp")
     blocks = F.ceil(F.col("group_size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     each = each.withColumns({"block": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     each = each.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     # rows, not lists of them, go to the tasks, which hold a batch and a group at a time
-    each = each.select("token", "low", "high", "n", "pos", "fp", "root", "block", "cells")
+    each = each.select("token", "low", "high", "n", "pos", "fp", "root", "block", "upper", "cells")
     sorted_ = each.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     rest = sorted_.mapInArrow(_within_groups, "a bigint, b bigint").distinct()
     more = spool(rest.join(shuffled(first), ["a", "b"], "left_anti"), "pairs")
@@ -320,12 +338,17 @@ def links(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each group one with the least id."""
-    narrow = docs.select(docs[quoted(id_col)].alias("doc_id"), docs[quoted(text_col)].alias("text"))
+    with small_batches(docs.sparkSession, TEXTS):
+        prints, classes = _classes(docs.select(docs[quoted(id_col)].alias("doc_id"), docs[quoted(text_col)].alias("text")))
+    return documents_kept(docs, id_col, text_col, prints.select("doc_id", "fp"), classes, text_key)
+
+
+def _classes(narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """narrow(doc_id, text): the prints of all rows, and the classes of their sets."""
     prints = spool(_prints(narrow), "prints")
     firsts = [F.first(c).alias(c) for c in ("sim", "n", "cells", "coarse")]
     nodes = spool(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size"), *firsts), "nodes")
     once = prints.select("fp", "n", "coarse", "prefix").dropDuplicates(["fp"])
     roots = components(links(once, nodes, narrow))
     classes = nodes.select("fp", "first_id", "group_size").join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left")
-    classes = spool(least_of_components(classes.withColumn("root", F.coalesce("root", "fp"))), "classes")
-    return documents_kept(docs, id_col, text_col, prints.select("doc_id", "fp"), classes, text_key)
+    return prints, spool(least_of_components(classes.withColumn("root", F.coalesce("root", "fp"))), "classes")

@@ -79,9 +79,10 @@ def test_groups_over_batches():
     rows = pa.RecordBatch.from_arrays(
         [
             *(pa.array(x.astype(np.int64)) for x in (token, 0 * token, 0 * token, 100 + 0 * token, rng.integers(0, 4, n), fp, root, 0 * token)),
+            pa.array(np.ones(n, bool)),
             pa.array([cells[i % 6].tobytes() for i in fp], pa.binary()),
         ],
-        ["token", "low", "high", "n", "pos", "fp", "root", "block", "cells"],
+        ["token", "low", "high", "n", "pos", "fp", "root", "block", "upper", "cells"],
     )
     apart = 9 * np.abs(cells[:, None].astype(int) - cells[None]).sum(axis=2) <= 200
     want = {
@@ -93,3 +94,58 @@ def test_groups_over_batches():
         found = [p for out in near_dedup._within_groups(iter(parts)) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)]
         assert set(found) == want and len(found) == len(want)
     assert list(near_dedup._within_groups(iter([]))) == []
+
+
+def near_copies(n, rng, length=60, changed=3):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+    texts = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.randrange(changed)):
+            copy[rng.randrange(length)] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_pairs_across_blocks(spark, monkeypatch):
+    """Groups of many blocks, with components that only pairs of two blocks join."""
+    from scanloom.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "PAIRS", 64)
+    rng = random.Random(5)
+    texts = near_copies(70, rng, 40, 4) + near_copies(40, rng, 90, 8)
+    line = " ".join(f"line{i}" for i in range(12))
+    texts += [f"{line} " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(3))) for _ in range(90)]
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    found = [r.doc_id for r in near_dedup.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(found) == sorted(brute(rows))
+
+
+def test_a_group_of_one_component_is_not_exchanged(spark, monkeypatch):
+    from scanloom.llm import near_dedup
+
+    seen, plain = [], near_dedup.open_members
+
+    def counted(met, known, n_met):
+        rows = plain(met, known, n_met)
+        seen.append((n_met, rows.count()))
+        return rows
+
+    monkeypatch.setattr(near_dedup, "open_members", counted)
+    docs = spark.createDataFrame(list(enumerate(near_copies(5000, random.Random(2), 60, 2))), "doc_id bigint, text string")
+    assert [r.doc_id for r in near_dedup.keep_first(docs).collect()] == [0]
+    (met, members), = seen
+    assert met > 10_000 and members < 500
+
+
+def test_awkward_rows(spark):
+    """Null and repeated ids, null texts, repeated rows and no rows at all."""
+    from scanloom.llm import near_dedup
+
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text), (4, text + " x"), (4, "other words are here alone"), (4, None), (None, ""), (9, text), (9, text), (None, "alone again here now yes")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [tuple(r) for r in near_dedup.keep_first(docs).collect()]
+    assert sorted(found, key=str) == sorted([(4, text + " x"), (4, "other words are here alone"), (4, None), (None, "alone again here now yes")], key=str)
+    assert near_dedup.keep_first(docs.limit(0)).collect() == []
