@@ -133,7 +133,7 @@ def test_a_group_of_one_component_is_not_exchanged(spark, monkeypatch):
         return rows
 
     monkeypatch.setattr(near_dedup, "open_members", counted)
-    docs = spark.createDataFrame(list(enumerate(near_copies(5000, random.Random(2), 60, 2))), "doc_id bigint, text string")
+    docs = spark.createDataFrame(list(enumerate(near_copies(3000, random.Random(2), 200, 2))), "doc_id bigint, text string")
     assert [r.doc_id for r in near_dedup.keep_first(docs).collect()] == [0]
     (met, members), = seen
     assert met > 10_000 and members < 500
