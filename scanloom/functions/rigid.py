@@ -177,8 +177,12 @@ def plane_pairs(a: np.ndarray, b: np.ndarray, pose: np.ndarray) -> tuple[np.ndar
 
 
 def plane_refine(a: np.ndarray, b: np.ndarray, pose: np.ndarray) -> np.ndarray:
-    """Point-to-plane refinement by damped Gauss-Newton steps; pairs are fixed once."""
-    a, b = plane_pairs(a, b, pose)
+    """Point-to-plane refinement from the planes of both sides; pairs are fixed once."""
+    return refine_pairs(*plane_pairs(a, b, pose), pose)
+
+
+def refine_pairs(a: np.ndarray, b: np.ndarray, pose: np.ndarray) -> np.ndarray:
+    """The pose at which centres of a lie on their planes of b, by damped Gauss-Newton steps."""
     if len(a) < 6:
         return pose
     damp = 1e-4

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import rotation_error, translation_error
+from ..plans.store import cut
+from .ordering import running_sums, with_previous
 
 # Thresholds 0, 0.01 ... 2.10; the first frame that is scored; limits
 # of a successful pose.
@@ -65,26 +67,25 @@ def threshold_sweep(top1: DataFrame) -> DataFrame:
 def average_precision(points: DataFrame) -> DataFrame:
     """points(step, precision, recall): AP = sum of recall gains times precision, from
     the second point on, and the largest F1."""
-    gain = F.col("recall") - F.lag("recall").over(Window.orderBy("step"))
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-12)
-    return points.select((gain * F.col("precision")).alias("part"), f1.alias("f1")).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("ap"), F.max("f1").alias("f1_max"))
+    parts = with_previous(points, ["step"], {"before": "recall"}).select(((F.col("recall") - F.col("before")) * F.col("precision")).alias("part"), f1.alias("f1"))
+    return parts.agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("ap"), F.max("f1").alias("f1_max"))
 
 
 def auc(points: DataFrame) -> DataFrame:
     """Area under precision over recall, times 100, by trapezoids."""
-    order = Window.orderBy("recall", "precision", "step")
-    width = F.col("recall") - F.lag("recall").over(order)
-    height = (F.col("precision") + F.lag("precision").over(order)) / 2
-    return points.select((width * height).alias("part")).agg((F.sum("part") * 100).alias("auc"))
+    known = with_previous(points, ["recall", "precision", "step"], {"recall_before": "recall", "precision_before": "precision"})
+    width, height = F.col("recall") - F.col("recall_before"), (F.col("precision") + F.col("precision_before")) / 2
+    return known.select((width * height).alias("part")).agg((F.sum("part") * 100).alias("auc"))
 
 
 def ranked_curve(scored: DataFrame) -> DataFrame:
     """scored(score, label): a point of precision and recall per distinct score."""
     groups = scored.select(F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)).alias("score"), "label")
-    groups = groups.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tp, taken, all_pos = F.sum("pos").over(order), F.sum("n").over(order), F.sum("pos").over(Window.partitionBy(F.lit(0)))
-    return groups.select("score", (tp / taken).alias("precision"), F.coalesce(F.try_divide(tp, all_pos), F.lit(1.0)).alias("recall"))
+    groups = cut(groups.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count("*").alias("n")))
+    all_pos = groups.agg(F.sum("pos").alias("all_pos")).scalar()
+    summed = running_sums(groups, [F.col("score").desc()], {"tp": "pos", "taken": "n"})
+    return summed.select("score", (F.col("tp") / F.col("taken")).alias("precision"), F.coalesce(F.try_divide("tp", all_pos), F.lit(1.0)).alias("recall"))
 
 
 def ranked_summary(curve: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rigid
-from ..functions.labels import BACKGROUND, PLANES
+from ..functions.geometry import neighbours27, transform, voxels
+from ..functions.labels import BACKGROUND
 
 POSE = "array<double>"
 
@@ -110,14 +111,47 @@ def icp_poses(points_a: DataFrame, points_b: DataFrame, guesses: DataFrame) -> D
     return _per_pair(points_a, points_b, guesses, lambda pose, a, b: rigid.icp(_points(a), _points(b), pose))
 
 
-def plane_poses(points_a: DataFrame, points_b: DataFrame, guesses: DataFrame) -> DataFrame:
-    """Point-to-plane refinement of each pair on road, building and fence planes."""
+CENTRE, NORMAL = ("mx", "my", "mz"), ("nx", "ny", "nz")
+
+
+def plane_pairs(planes_a: DataFrame, planes_b: DataFrame, guesses: DataFrame) -> DataFrame:
+    """planes(pair_id, vx .., mx .., nx ..) of both sides, guesses(pair_id, pose): each plane
+    of a with the nearest of b around the place to which the pose takes it, if their
+    normals and their distance agree: (pair_id, a, b), each a struct. An equi-join on the
+    27 voxels around; ties go to the smaller voxel."""
+    pose = F.col("pose")
+    turned = transform(F.transform(pose, lambda x, i: F.when(i % 4 == 3, F.lit(0.0)).otherwise(x)), *map(F.col, NORMAL))
+    moved = planes_a.join(guesses.select("pair_id", "pose"), "pair_id").select(
+        "pair_id", F.struct("vx", "vy", "vz", *CENTRE, *NORMAL).alias("a"),
+        *[e.alias(f"q{c}") for e, c in zip(transform(pose, *map(F.col, CENTRE)), "xyz", strict=True)],
+        *[e.alias(f"r{c}") for e, c in zip(turned, "xyz", strict=True)],
+    )
+    at = voxels(rigid.PLANE_VOXEL, *[F.col(f"q{c}") for c in "xyz"])
+    around = moved.select("*", *at).withColumn("v", F.explode(neighbours27(F.col("vx"), F.col("vy"), F.col("vz")))).drop("vx", "vy", "vz").select("*", "v.*").drop("v")
+    held = planes_b.select("pair_id", F.struct("vx", "vy", "vz", *CENTRE, *NORMAL).alias("b"), *voxels(rigid.PLANE_VOXEL, *map(F.col, CENTRE)))
+    gap = {c: F.col(f"q{c}") - F.col(f"b.m{c}") for c in "xyz"}
+    found = around.join(held, ["pair_id", "vx", "vy", "vz"]).withColumn("d2", sum((d * d for d in gap.values()), F.lit(0.0)))
+    moved_to = [f"{k}{c}" for k in "qr" for c in "xyz"]
+    near = found.groupBy("pair_id", "a", *moved_to).agg(F.min(F.struct("d2", "b")).alias("n")).select("pair_id", "a", *moved_to, "n.*")
+    turn = lambda sign: F.sqrt(sum(((F.col(f"r{c}") - sign * F.col(f"b.n{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    off = F.abs(sum((gap[c] * F.col(f"b.n{c}") for c in "xyz"), F.lit(0.0)))
+    agree = (F.least(turn(1.0), turn(-1.0)) < rigid.NORMAL_LIMIT) & (off < rigid.PLANE_LIMIT) & (F.col("d2") < rigid.PLANE_D2)
+    return near.where(agree).select("pair_id", "a", "b", "d2")
+
+
+def plane_poses(planes_a: DataFrame, planes_b: DataFrame, guesses: DataFrame) -> DataFrame:
+    """Point-to-plane refinement of each pair's guess from its planes; a task gets the pairs
+    of planes, never points. Pairs with fewer than six keep their guess."""
+    flat = [F.col(f"{side}.{c}").alias(f"{side}{c}") for side in "ab" for c in (*CENTRE, *NORMAL)]
+    matched = plane_pairs(planes_a, planes_b, guesses).join(guesses.select("pair_id", "pose"), "pair_id").select("pair_id", "pose", "a", *flat)
 
-    def improve(pose, a, b):
-        a, b = (_points(p[p.label.isin(PLANES)]) for p in (a, b))
-        return rigid.plane_refine(rigid.planes(a), rigid.planes(b), pose)
+    def run(key, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values([f"a{c}" for c in CENTRE])
+        a, b = (found[[f"{side}{c}" for c in (*CENTRE, *NORMAL)]].to_numpy(dtype=np.float64) for side in "ab")
+        return pd.DataFrame({"pair_id": [key[0]], "refined": [rigid.refine_pairs(a, b, _square(found.pose.iloc[0]))[:3].ravel()]})
 
-    return _per_pair(points_a, points_b, guesses, improve)
+    refined = matched.drop("a").groupBy("pair_id").applyInPandas(run, f"pair_id bigint, refined {POSE}")
+    return guesses.select("pair_id", "pose").join(refined, "pair_id", "left").select("pair_id", F.coalesce("refined", "pose").alias("pose"))
 
 
 def background_poses(points_a: DataFrame, points_b: DataFrame, guesses: DataFrame) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rigid
 from ..functions.geometry import neighbours27, voxels
+from ..functions.labels import PLANES
 
 
 def downsample_first(points: DataFrame, size: float) -> DataFrame:
@@ -52,3 +58,30 @@ def plane_moments(points: DataFrame, size: float, least: int) -> DataFrame:
     means = {f"m{a}": F.col(f"s{a}") / F.col("n") for a in "xyz"}
     second = {f"c{a}{b}": F.col(f"s{a}{b}") / F.col("n") - means[f"m{a}"] * means[f"m{b}"] for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")}
     return grouped.where(F.col("n") >= least).select("scan_id", "vx", "vy", "vz", "n", *[e.alias(k) for k, e in (means | second).items()])
+
+
+def normals(moments: DataFrame) -> DataFrame:
+    """Rows of plane_moments() with their normal, the direction in which the points spread
+    least (its largest component is positive), and spread, their variance along it."""
+    second = [f"c{a}" for a in ("xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz")]
+    kept = ["scan_id", "vx", "vy", "vz", "n", "mx", "my", "mz"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spread, axes = np.linalg.eigh(np.stack([batch.column(c).to_numpy() for c in second], axis=1).reshape(-1, 3, 3))
+            normal = axes[:, :, 0]
+            lead = np.abs(normal).argmax(axis=1)[:, None]
+            normal = normal * np.sign(np.take_along_axis(normal, lead, axis=1))
+            columns = [*(batch.column(c) for c in kept), *(pa.array(np.ascontiguousarray(normal[:, i])) for i in range(3)), pa.array(spread[:, 0])]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "nx", "ny", "nz", "spread"])
+
+    types = dict(moments.dtypes)
+    return moments.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in kept) + ", nx double, ny double, nz double, spread double")
+
+
+def planes(points: DataFrame) -> DataFrame:
+    """The planes of each scan's road, buildings and fences: centre (mx, my, mz) and normal
+    of every voxel with enough points that are flat."""
+    thin = downsample_first(points.where(F.col("label").isin(*PLANES)).select("scan_id", "pt_idx", "x", "y", "z"), rigid.PLANE_DOWN)
+    moments = plane_moments(thin.drop("vx", "vy", "vz"), rigid.PLANE_VOXEL, rigid.PLANE_POINTS)
+    return normals(moments).where(F.col("spread") <= rigid.PLANE_FLAT)

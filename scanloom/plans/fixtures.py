@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import transform
-from ..functions.labels import train_label
+from ..functions.labels import PLANES, train_label
 
 POINTS_A_VECTOR = 20
 # Raw class by the label of a vector.
@@ -38,6 +38,32 @@ def points(spark: SparkSession, sf_dir: str, vectors_a_scan: int = 25) -> DataFr
     )
 
 
+PATCH, PATCH_STEP = 6, 0.26
+
+
+def patches(spark: SparkSession, sf_dir: str, vectors_a_scan: int = 25) -> DataFrame:
+    """Vectors as flat squares of 36 points, of road, buildings and fences: a square lies
+    at components 0 to 2, along components 3 to 5, tilted by 6 to 8."""
+    e = lambda i: F.get(F.col("embedding"), F.lit(i)).cast("double")
+    base = embeddings(spark, sf_dir).select("vec_id", *[(e(i) * k).alias(f"o{i}") for i, k in enumerate((80, 80, 8))], *[e(i).alias(f"e{i}") for i in range(3, 9)])
+    c = lambda name, of: [F.col(f"{name}{i}") for i in of]
+    norm = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+    u = c("e", (3, 4, 5))
+    base = base.select("vec_id", *c("o", (0, 1, 2)), *c("e", (6, 7, 8)), *[(x / norm(u)).alias(f"u{i}") for i, x in enumerate(u)])
+    n = cross(c("u", (0, 1, 2)), c("e", (6, 7, 8)))
+    base = base.select("vec_id", *c("o", (0, 1, 2)), *c("u", (0, 1, 2)), *[(x / norm(n)).alias(f"n{i}") for i, x in enumerate(n)])
+    w = cross(c("n", (0, 1, 2)), c("u", (0, 1, 2)))
+    base = base.select("*", *[x.alias(f"w{i}") for i, x in enumerate(w)]).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(PATCH * PATCH - 1))))
+    p, q = ((x - (PATCH - 1) / 2) * PATCH_STEP for x in (F.expr(f"j div {PATCH}").cast("double"), (F.col("j") % PATCH).cast("double")))
+    return base.select(
+        F.expr(f"vec_id div {vectors_a_scan}").alias("scan_id"),
+        ((F.col("vec_id") % vectors_a_scan) * PATCH * PATCH + F.col("j")).cast("int").alias("pt_idx"),
+        *[(F.col(f"o{i}") + p * F.col(f"u{i}") + q * F.col(f"w{i}")).alias(a) for i, a in enumerate("xyz")],
+        F.get(F.array(*[F.lit(x) for x in PLANES]), (F.col("vec_id") % 3).cast("int")).alias("label"),
+    )
+
+
 def _pose(angle: F.Column, shift: list) -> F.Column:
     c, s, zero, one = F.cos(angle), F.sin(angle), F.lit(0.0), F.lit(1.0)
     return F.array(c, -s, zero, shift[0], s, c, zero, shift[1], zero, zero, one, shift[2])
@@ -55,6 +81,15 @@ def poses(spark: SparkSession, sf_dir: str, vectors_a_scan: int = 25) -> DataFra
     return scans.select("pair_id", _pose(angle, shift).alias("truth"), _pose(angle + off * 0.004, guess).alias("pose"))
 
 
+def near_poses(spark: SparkSession, sf_dir: str, vectors_a_scan: int = 25) -> DataFrame:
+    """(pair_id, truth, pose) for each scan: the motion of its copy, and a guess that is
+    off by 0.15 m and 0.34 degrees."""
+    step = (1 + F.col("pair_id") % 3).cast("double")
+    shift = [step * 0.5 + 0.12, step * -0.3 - 0.08, step * 0.02 + 0.05]
+    guess = _pose(F.lit(0.05) * (F.col("pair_id") + 1) + 0.006, shift)
+    return poses(spark, sf_dir, vectors_a_scan).select("pair_id", "truth", guess.alias("pose"))
+
+
 def copies(table: DataFrame, moved: DataFrame) -> DataFrame:
     """points moved by each scan's true pose, as scans COPY + number."""
     joined = table.join(moved.select(F.col("pair_id").alias("scan_id"), "truth"), "scan_id")
@@ -85,6 +120,20 @@ def points_sql(vectors_a_scan: int = 25, name: str = "pts") -> str:
   FROM embeddings, unnest(range({POINTS_A_VECTOR})) AS u(j)))"""
 
 
+def patches_sql(vectors_a_scan: int = 25, name: str = "pts") -> str:
+    e = lambda i: f"CAST(embedding[{i + 1}] AS DOUBLE)"
+    norm = lambda v: f"sqrt({' + '.join(f'{v}{i} * {v}{i}' for i in range(3))})"
+    cross = lambda p, q: [f"({p}{i} * {q}{j} - {p}{j} * {q}{i})" for i, j in ((1, 2), (2, 0), (0, 1))]
+    three = lambda found, v: ", ".join(f"{x} AS {v}{i}" for i, x in enumerate(found))
+    half = f"{(PATCH - 1) / 2}::DOUBLE) * {PATCH_STEP}::DOUBLE"
+    axes = ", ".join(f"o{i} + (CAST(j // {PATCH} AS DOUBLE) - {half} * u{i} + (CAST(j % {PATCH} AS DOUBLE) - {half} * w{i} AS {a}" for i, a in enumerate("xyz"))
+    return f"""{name} AS (SELECT vec_id // {vectors_a_scan} AS scan_id, CAST((vec_id % {vectors_a_scan}) * {PATCH * PATCH} + j AS INT) AS pt_idx, {axes}, ({list(PLANES)})[vec_id % 3 + 1] AS label
+  FROM (SELECT *, {three(cross("n", "u"), "w")} FROM (SELECT *, {three([f"m{i} / {norm('m')}" for i in range(3)], "n")} FROM (
+    SELECT *, {three(cross("u", "t"), "m")} FROM (SELECT *, {three([f"d{i} / {norm('d')}" for i in range(3)], "u")} FROM (
+      SELECT vec_id, {three([f"{e(i)} * {k}" for i, k in enumerate((80, 80, 8))], "o")}, {three([e(i) for i in (3, 4, 5)], "d")}, {three([e(i) for i in (6, 7, 8)], "t")} FROM embeddings))))),
+    unnest(range({PATCH * PATCH})) AS k(j))"""
+
+
 def poses_sql(vectors_a_scan: int = 25, name: str = "pose") -> str:
     def one(angle: str, dx: str) -> str:
         return f"[cos({angle}), -sin({angle}), 0.0::DOUBLE, {dx}, sin({angle}), cos({angle}), 0.0::DOUBLE, step * -0.3::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, step * 0.02::DOUBLE]"

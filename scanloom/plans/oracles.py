@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.labels import BACKGROUND, CELL_ORDER, FOREGROUND
 from ..operators.graphs import BLOCKS
-from .fixtures import move_sql, points_sql, poses_sql
+from .fixtures import move_sql, patches_sql, points_sql, poses_sql
 
 _FG = ", ".join(map(str, FOREGROUND))
 _BG = ", ".join(map(str, BACKGROUND))
@@ -186,6 +186,47 @@ def _true_pairs(vectors: int = 50) -> str:
     return _with(poses_sql(vectors)) + "SELECT pair_id * 2 AS pair_id, true AS close FROM pose"
 
 
+# Planes: the least eigenvalue of a symmetric 3x3 in closed form; its direction is a column
+# of the adjugate of what is left, applied to it once more.
+def _planes() -> list[str]:
+    second = [f"avg({p} * {q}) - avg({p}) * avg({q}) AS c{p}{q}" for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    adjugate = {
+        "xx": "(yy * zz - yz * yz)", "yy": "(xx * zz - xz * xz)", "zz": "(xx * yy - xy * xy)",
+        "xy": "(xz * yz - xy * zz)", "xz": "(xy * yz - xz * yy)", "yz": "(xy * xz - xx * yz)",
+    }
+    row = lambda p: [adjugate["".join(sorted(p + q))] for q in "xyz"]
+    pick = [f"CASE WHEN axx >= ayy AND axx >= azz THEN {row('x')[i]} WHEN ayy >= azz THEN {row('y')[i]} ELSE {row('z')[i]} END AS f{c}" for i, c in enumerate("xyz")]
+    again = [f"{' + '.join(f'{m} * f{q}' for m, q in zip(row(p), 'xyz', strict=True))} AS g{p}" for p in "xyz"]
+    lead = "CASE WHEN abs(gx) >= abs(gy) AND abs(gx) >= abs(gz) THEN gx WHEN abs(gy) >= abs(gz) THEN gy ELSE gz END"
+    return [
+        f"thin AS (SELECT * FROM (SELECT *, {_VOXEL(0.25)} FROM pts) QUALIFY row_number() OVER (PARTITION BY scan_id, vx, vy, vz ORDER BY pt_idx) = 1)",
+        f"""moments AS (SELECT scan_id, vx, vy, vz, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, {", ".join(second)}
+  FROM (SELECT scan_id, x, y, z, {_VOXEL(1)} FROM thin) GROUP BY scan_id, vx, vy, vz HAVING count(*) >= 8)""",
+        """spread AS (SELECT *, q + 2 * p * cos(acos(greatest(-1, least(1, ((cxx - q) * ((cyy - q) * (czz - q) - cyz * cyz) - cxy * (cxy * (czz - q) - cyz * cxz)
+    + cxz * (cxy * cyz - (cyy - q) * cxz)) / (2 * p * p * p)))) / 3 + 2 * pi() / 3) AS low
+  FROM (SELECT *, sqrt(((cxx - q) * (cxx - q) + (cyy - q) * (cyy - q) + (czz - q) * (czz - q) + 2 * (cxy * cxy + cxz * cxz + cyz * cyz)) / 6) AS p
+    FROM (SELECT *, (cxx + cyy + czz) / 3 AS q FROM moments)))""",
+        f"""planes AS (SELECT scan_id, vx, vy, vz, n, mx, my, mz, {", ".join(f"g{c} / sqrt(gx * gx + gy * gy + gz * gz) * sign({lead}) AS n{c}" for c in "xyz")}
+  FROM (SELECT *, {", ".join(again)} FROM (SELECT *, {", ".join(pick)} FROM (SELECT *, {", ".join(f"{adjugate[p + p]} AS a{p}{p}" for p in "xyz")}
+    FROM (SELECT *, cxx - low AS xx, cyy - low AS yy, czz - low AS zz, cxy AS xy, cxz AS xz, cyz AS yz FROM spread WHERE low <= 0.005)))))""",
+    ]
+
+
+def _plane_pairs() -> str:
+    pose = ["cos(0.02)", "-sin(0.02)", "0", "0.05", "sin(0.02)", "cos(0.02)", "0", "-0.03", "0", "0", "1", "0.02"]
+    turn = lambda v, i: " + ".join(f"{pose[4 * i + k]} * {v}{c}" for k, c in enumerate("xyz"))
+    moved = ", ".join([f"{turn('m', i)} + {pose[4 * i + 3]} AS q{c}" for i, c in enumerate("xyz")] + [f"{turn('n', i)} AS r{c}" for i, c in enumerate("xyz")])
+    d2 = " + ".join(f"(q{c} - t{c}) * (q{c} - t{c})" for c in "xyz")
+    near = " AND ".join(f"abs(CAST(trunc(q{c}) AS INT) - CAST(trunc(t{c}) AS INT)) <= 1" for c in "xyz")
+    apart = lambda sign: f"sqrt({' + '.join(f'(r{c} {sign} u{c}) * (r{c} {sign} u{c})' for c in 'xyz')})"
+    off = f"abs({' + '.join(f'(q{c} - t{c}) * u{c}' for c in 'xyz')})"
+    return f"""SELECT a.scan_id AS pair_id, a_vx, a_vy, a_vz, b_vx, b_vy, b_vz, {_r("d2", "d2")} FROM (
+  SELECT a.*, b.*, {d2} AS d2 FROM (SELECT scan_id, vx AS a_vx, vy AS a_vy, vz AS a_vz, {moved} FROM planes) a
+  JOIN (SELECT scan_id AS b_scan, vx AS b_vx, vy AS b_vy, vz AS b_vz, mx + 0.1 AS tx, my AS ty, mz AS tz, nx AS ux, ny AS uy, nz AS uz FROM planes) b
+  ON a.scan_id = b_scan AND {near} QUALIFY row_number() OVER (PARTITION BY a.scan_id, a_vx, a_vy, a_vz ORDER BY d2, b_vx, b_vy, b_vz) = 1) a
+WHERE least({apart("-")}, {apart("+")}) < 0.2 AND {off} < 0.5 AND d2 < 3"""
+
+
 ORACLES: dict[str, str] = {
     "knn_exclusion_topk": _with(_TOP) + "SELECT query_id, cand_id, d2, rk FROM top",
     "knn_padded_candidates": _with(_TOP, _PADDED) + "SELECT query_id, rk, cand_id, d2 FROM padded",
@@ -263,6 +304,8 @@ WHERE abs(a.dx - b.dx) <= 2 AND abs(a.dy - b.dy) <= 2 AND abs(a.dz - b.dz) <= 2"
     "ransac_matched_pose": _true_pairs(),
     "icp_pose": _true_pairs(25),
     "plane_icp_pose": _true_pairs(25),
+    "plane_normals": _with(patches_sql(), *_planes()) + f"SELECT scan_id, vx, vy, vz, n, {', '.join(_r(f'{k}{c}', f'{k}{c}') for k in 'mn' for c in 'xyz')} FROM planes",
+    "plane_pairs": _with(patches_sql(), *_planes()) + _plane_pairs(),
     "loop_pose": _true_pairs(),
     "loop_similarity": _with(poses_sql(50))
     + """SELECT pair_id * 2 AS pair_id, CAST(1 AS INT) AS gt, true AS good FROM pose

@@ -15,9 +15,9 @@ from .store import cut
 
 
 def _numbered(pairs: DataFrame) -> DataFrame:
-    """pairs with a pair_id that follows from the scans."""
-    number = F.xxhash64("scan_a", "scan_b").alias("pair_id")
-    return cut(pairs.select(number, "*").dropDuplicates(["pair_id"]))
+    """The different pairs (pair_id, scan_a, scan_b); their numbers are told apart only by
+    the plan that writes them, so they are written once."""
+    return cut(pairs.select("scan_a", "scan_b").distinct().select(F.monotonically_increasing_id().alias("pair_id"), "*"))
 
 
 def _points_of(spark: SparkSession, pairs: DataFrame, cloud_dir: str, label_dir: str, config: Config) -> DataFrame:
@@ -27,17 +27,22 @@ def _points_of(spark: SparkSession, pairs: DataFrame, cloud_dir: str, label_dir:
 
 
 def score_pairs(spark: SparkSession, pairs_file: str, cloud_dir: str, label_dir: str, out: str, config: Config = KITTI) -> DataFrame:
-    """Scores of the pairs of a list, written as 'score label'."""
-    pairs = _numbered(scans.read_pairs(spark, pairs_file))
-    scored = cut(loops.pair_similarity(_points_of(spark, pairs, cloud_dir, label_dir, config), pairs, config))
+    """Scores of the pairs of a list, written as 'score label'; a line for each of its
+    lines, also repeated ones, though a pair is scored once."""
+    lines = scans.read_pairs(spark, pairs_file)
+    pairs = _numbered(lines)
+    found = loops.pair_similarity(_points_of(spark, pairs, cloud_dir, label_dir, config), pairs, config)
+    scored = cut(lines.join(found, ["scan_a", "scan_b"]).select("pair_id", *lines.columns, "score"))
     sinks.write_scores(scored, out)
     return scored
 
 
 def pose_pairs(spark: SparkSession, pairs_file: str, cloud_dir: str, label_dir: str, out: str, config: Config = KITTI) -> DataFrame:
     """Poses of the pairs of a pose list (whose poses are not read), written as such a list."""
-    pairs = _numbered(scans.read_poses(spark, pairs_file).select("scan_a", "scan_b"))
-    found = cut(loops.pair_poses(_points_of(spark, pairs, cloud_dir, label_dir, config), pairs, config))
+    lines = scans.read_poses(spark, pairs_file).select("scan_a", "scan_b")
+    pairs = _numbered(lines)
+    poses = loops.pair_poses(_points_of(spark, pairs, cloud_dir, label_dir, config), pairs, config)
+    found = cut(lines.join(poses, ["scan_a", "scan_b"]).select("pair_id", *lines.columns, "pose"))
     sinks.write_poses(found, out)
     return found
 
@@ -56,9 +61,10 @@ def retrieve(
     """Candidates of every scan of a folder, up to the first number without a scan,
     before and after verification."""
     points = scans.until_missing(cut(scans.read_scans(spark, cloud_dir, label_dir, config)))
-    raw = cut(loops.sequence_candidates(points, config, k, exclusion))
+    kept = loops.Features(points, config)
+    raw = cut(loops.sequence_candidates(points, config, k, exclusion, kept))
     sinks.write_candidates(raw, out_raw)
-    found = cut(loops.verify(raw, points, config))
+    found = cut(loops.verify(raw, points, config, kept))
     sinks.write_candidates(found, out_verified)
     return found
 

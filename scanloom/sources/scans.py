@@ -11,30 +11,19 @@ from pyspark.sql import functions as F
 
 from ..config import KITTI, Config
 from ..functions.labels import class_of, train_label
+from . import scan_source
+from .points import POINTS, points_of
 
-POINTS = "scan_id bigint, pt_idx int, x double, y double, z double, raw_label int"
-#: Points of a scan that are decoded at a time.
-PART = 1 << 17
+#: So many scans are opened by their numbers; to read more, the whole folder is read.
+MANY = 10_000
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (scan_id, scan, labels) to points. The label file says how many there
-    are; intensity is not read."""
+    """Rows (scan_id, scan, labels) to points."""
     for batch in batches:
         for number, scan, labels in zip(*batch.columns, strict=True):
-            xyz = np.frombuffer(scan.as_py(), dtype="<f4").reshape(-1, 4)[:, :3]
-            raw = np.frombuffer(labels.as_py(), dtype="<u4") & 0xFFFF
-            n = min(len(raw), len(xyz))
-            for at in range(0, n, PART):
-                end = min(at + PART, n)
-                part = xyz[at:end].astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(end - at, number.as_py(), dtype=np.int64)), pa.array(np.arange(at, end, dtype=np.int32))]
-                    + [pa.array(np.ascontiguousarray(part[:, i])) for i in range(3)]
-                    + [pa.array(raw[at:end].astype(np.int32))],
-                    ["scan_id", "pt_idx", "x", "y", "z", "raw_label"],
-                )
+            yield from points_of(number.as_py(), scan.as_py(), labels.as_py())
 
 
 def number_of(path: str = "path") -> F.Column:
@@ -49,14 +38,22 @@ def decode(scans: DataFrame, labels: DataFrame, config: Config = KITTI, only: Da
     if only is not None:
         a = a.join(only, "scan_id", "left_semi")
     b = labels.select(number_of().alias("scan_id"), F.col("content").alias("labels"))
-    points = a.join(b, "scan_id").select("scan_id", "scan", "labels").mapInArrow(_decode, POINTS)
+    return _labelled(a.join(b, "scan_id").select("scan_id", "scan", "labels").mapInArrow(_decode, POINTS), config)
+
+
+def _labelled(points: DataFrame, config: Config) -> DataFrame:
     label = train_label(F.col("raw_label"), config.label_map) if config.remap else class_of(F.col("raw_label"))
     return points.withColumn("label", label)
 
 
 def read_scans(spark: SparkSession, cloud_dir: str, label_dir: str, config: Config = KITTI, only: DataFrame | None = None) -> DataFrame:
     """All scans of a folder: NNNNNN.bin of float32 x, y, z, intensity and
-    NNNNNN.label of uint32."""
+    NNNNNN.label of uint32. only: (scan_id) of the scans that are wanted; up to MANY of
+    them are opened by their numbers, and no other file is."""
+    if only is not None and scan_source.can_open(cloud_dir, label_dir):
+        ids = [r.scan_id for r in only.select("scan_id").distinct().limit(MANY + 1).collect()]
+        if len(ids) <= MANY:
+            return _labelled(scan_source.read(spark, cloud_dir, label_dir, [i for i in ids if i is not None]), config)
     files = lambda path, end: spark.read.format("binaryFile").option("pathGlobFilter", f"*.{end}").load(path)
     return decode(files(cloud_dir, "bin"), files(label_dir, "label"), config, only)
 

@@ -86,3 +86,49 @@ def test_retrieval_ends_at_the_first_missing_scan(spark, sequence, tmp_path):
     (clouds / "000005.bin").unlink()
     found = programs.retrieve(spark, str(clouds), str(sequence / "labels"), str(tmp_path / "raw"), str(tmp_path / "ok"), KITTI, k=2, exclusion=1)
     assert {r.query_id for r in found.collect()} == {2, 3, 4}
+
+
+def test_each_line_of_a_pair_list_has_its_score(spark, sequence, tmp_path):
+    clouds, labels = str(sequence / "velodyne"), str(sequence / "labels")
+    (tmp_path / "pairs.txt").write_text("0 2 1\n0 1 0\n0 2 1\n0 2 0\n")
+    found = programs.score_pairs(spark, str(tmp_path / "pairs.txt"), clouds, labels, str(tmp_path / "scores"))
+    assert sorted((r.scan_a, r.scan_b, r.gt) for r in found.collect()) == [(0, 1, 0), (0, 2, 0), (0, 2, 1), (0, 2, 1)]
+    assert spark.read.text(str(tmp_path / "scores")).count() == 4
+
+
+def test_only_the_scans_of_a_pair_are_opened(spark, sequence, tmp_path):
+    clouds, labels = tmp_path / "velodyne", tmp_path / "labels"
+    shutil.copytree(sequence / "velodyne", clouds)
+    shutil.copytree(sequence / "labels", labels)
+    for number in (0, 2, 4, 5, 6, 7):  # files that can't be opened
+        (clouds / f"{number:06d}.bin").unlink()
+        (clouds / f"{number:06d}.bin").symlink_to(tmp_path / "nothing")
+    score, pose = programs.one_pair(spark, 1, 3, str(clouds), str(labels))
+    assert score > 0.5 and len(pose) == 12
+
+
+def test_the_source_takes_ids_and_filters(spark, sequence, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    from scanloom.sources import scan_source
+
+    clouds, labels = str(sequence / "velodyne"), str(sequence / "labels")
+    reader = scan_source.FilteringReader(clouds, labels, {1, 2, 3, 99})
+    rest = list(reader.pushFilters([In(("scan_id",), (2, 3, 4)), GreaterThan(("x",), 0.0), EqualTo(("pt_idx",), 5)]))
+    assert [p.number for p in reader.partitions()] == [2, 3] and len(rest) == 2
+    found = scan_source.read(spark, clouds, labels, [3, 5, 77])
+    assert found.rdd.getNumPartitions() == 2
+    want = scans.read_scans(spark, clouds, labels).where("scan_id in (3, 5)").drop("label")
+    assert found.exceptAll(want).isEmpty() and found.count() == want.count()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = scan_source.read(spark, clouds, labels).where("scan_id in (3, 5) and x > 0")
+        assert pushed.rdd.getNumPartitions() == 2 and pushed.count() == want.where("x > 0").count()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    only = spark.createDataFrame([(3,), (5,), (5,), (None,)], "scan_id bigint")
+    by_number = scans.read_scans(spark, clouds, labels, only=only)
+    monkeypatch.setattr(scans, "MANY", 1)  # more than that: the whole folder
+    assert by_number.exceptAll(scans.read_scans(spark, clouds, labels, only=only)).isEmpty()
+    monkeypatch.setattr(scan_source, "can_open", lambda *paths: False)
+    assert scans.read_scans(spark, "file://" + clouds, "file://" + labels, only=only).count() == by_number.count()
