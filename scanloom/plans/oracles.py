@@ -228,6 +228,7 @@ WHERE least({apart("-")}, {apart("+")}) < 0.2 AND {off} < 0.5 AND d2 < 3"""
 
 
 ORACLES: dict[str, str] = {
+    "knn_pivot_topk": _with(_TOP) + "SELECT query_id, cand_id, d2, rk FROM top",
     "knn_exclusion_topk": _with(_TOP) + "SELECT query_id, cand_id, d2, rk FROM top",
     "knn_padded_candidates": _with(_TOP, _PADDED) + "SELECT query_id, rk, cand_id, d2 FROM padded",
     "stream_retrieval": _with(_TOP, _PADDED) + "SELECT query_id, rk, cand_id, d2 FROM padded",

@@ -12,7 +12,7 @@ from ..config import KITTI
 from ..functions import geometry as g
 from ..functions import vectors
 from ..functions.labels import is_background, is_foreground
-from ..operators import background, clusters, evaluation, graphs, matching, registration, retrieval, voxels
+from ..operators import background, clusters, evaluation, graphs, matching, metric_index, registration, retrieval, voxels
 from . import fixtures, loops
 from .store import by_scan, cut
 
@@ -41,6 +41,12 @@ def knn_exclusion_topk(spark, sf_dir):
     return retrieval.candidates(_scans(spark, sf_dir)).select("query_id", "cand_id", "d2", F.col("rk").cast("int"))
 
 
+def knn_pivot_topk(spark, sf_dir):
+    """knn_exclusion_topk through pivots."""
+    scans = _scans(spark, sf_dir)
+    return metric_index.search(metric_index.build(scans), scans).select("query_id", "cand_id", "d2", F.col("rk").cast("int"))
+
+
 def knn_padded_candidates(spark, sf_dir):
     scans = _scans(spark, sf_dir)
     return retrieval.padded(retrieval.candidates(scans), scans).select("query_id", "rk", "cand_id", "d2")
