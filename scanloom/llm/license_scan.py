@@ -4,7 +4,8 @@ A text is normalised: A-Z lower-cased, runs of anything but a-z and 0-9 to one s
 or to a boundary where such a run has a line end, or a mark . ! ? ; : before white
 space. A known licence sentence is found where its words stand between two boundaries,
 whatever boundaries lie inside it: so a sentence may be wrapped over lines, with
-comment leaders, and may be a clause or a line of its own, but not a part of one.
+comment leaders, and may be a clause or a line of its own, but not a part of one. A
+sentence may have slots, {}, for names of one to SLOT words.
 Sentences are mapped to their identifiers. The identifiers of a text, in order, are
 matched against the licence rules in their order; what a rule matches is used up, so
 that a more special rule hides the more general ones.
@@ -25,6 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import UPPER, ascii_lower, documents, quoted
 
+# Identifiers of open licences that a line may name.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
 # Known sentences as they stand in licences and their usual notices, with
 # their identifiers.
 SENTENCES = (
@@ -61,6 +68,22 @@ SENTENCES = (
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
         "either version 2 of the License, or (at your option) any later version",
     ),
+    (
+        "gpl-2-only",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    ),
+    (
+        "gpl-2-only",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+        "version 2 of the License",
+    ),
+    (
+        "gpl-3-only",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+        "version 3 of the License",
+    ),
+    ("gpl-only-2", "version 2 of the License"),
+    ("gpl-only-3", "version 3 of the License"),
     ("gpl-later-3", "either version 3 of the License, or (at your option) any later version"),
     ("gpl-later-2", "either version 2 of the License, or (at your option) any later version"),
     (
@@ -87,17 +110,31 @@ SENTENCES = (
     ),
     (
         "bsd-name",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "Neither the name of {} nor the names of its contributors may be used to endorse or promote products "
         "derived from this software without specific prior written permission",
     ),
+    ("bsd-name", "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission"),
     ("mpl-form", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense-free", "This is free and unencumbered software released into the public domain"),
     ("boost-name", "Distributed under the Boost Software License, Version 1.0"),
+    (
+        "zlib-grant",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, "
+        "and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    ("cc0", "To the extent possible under law, {} has waived all copyright and related or neighboring rights to {}"),
+    ("cc0", "CC0 1.0 Universal"),
+    ("cc0", "Licensed under CC0 1.0"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("reserved", "All rights reserved"),
+    *((f"spdx-{x}", f"SPDX-License-Identifier: {x}") for x in SPDX),
 )
 # Rules over the identifiers, in order: licence, pattern, whether it is open.
 RULES = (
@@ -110,6 +147,8 @@ RULES = (
     ("AGPL-3.0-or-later", "<agpl-terms>", True),
     ("GPL-3.0-or-later", "<gpl-terms-3>|<gpl-terms><gpl-later-3>", True),
     ("GPL-2.0-or-later", "<gpl-terms-2>|<gpl-terms><gpl-later-2>", True),
+    ("GPL-2.0-only", "<gpl-2-only>|<gpl-terms><gpl-only-2>", True),
+    ("GPL-3.0-only", "<gpl-3-only>|<gpl-terms><gpl-only-3>", True),
     ("GPL-3.0", "<gpl3-name>", True),
     ("GPL", "<gpl-terms>", True),
     ("CC-BY-NC-4.0", "<cc-by-nc>", False),
@@ -121,10 +160,16 @@ RULES = (
     ("MPL-2.0", "<mpl-form>", True),
     ("Unlicense", "<unlicense-free>", True),
     ("BSL-1.0", "<boost-name>", True),
+    ("Zlib", "<zlib-grant>", True),
+    ("CC0-1.0", "<cc0>", True),
+    *((x, f"<spdx-{x.replace('.', '[.]')}>", True) for x in SPDX),
     ("Proprietary", "<reserved>", False),
 )
 #: A boundary, twice: sentences side by side each have one of their own.
 BREAK = "\n\n"
+#: What may stand between two words, the most words of a slot, and a slot.
+GAP, SLOT = f"(?: |{BREAK})", 12
+NAME = f"[a-z0-9]+(?:{GAP}[a-z0-9]+){{0,{SLOT - 1}}}?"
 # The steps of the normalisation: pattern and replacement.
 STEPS = (
     ("[.!?;:][\"')\\]]*[\\x20\\x09-\\x0D]", "\x01"),
@@ -135,17 +180,28 @@ STEPS = (
 
 
 def _plain(sentence: str) -> str:
-    return " ".join(re.findall("[a-z0-9]+", sentence.lower()))
+    return " ".join(re.findall(r"[a-z0-9]+|\{\}", sentence.lower()))
 
 
 def _triggers(sentences: Sequence[tuple[str, str]]) -> str:
     return "|".join(sorted({max(_plain(text).split(), key=len) for _, text in sentences}))
 
 
+def _words(plain: str, gap: str = GAP, name: str = NAME) -> str:
+    return plain.replace(" ", gap).replace("{}", name)
+
+
 def _pattern(sentences: Sequence[tuple[str, str]]) -> str:
     """Any of the sentences between boundaries, the longest first."""
     known = sorted({_plain(text) for _, text in sentences}, key=lambda x: (-len(x), x))
-    return f"(?:^ ?|\n)({'|'.join(x.replace(' ', f'(?: |{BREAK})') for x in known)})(?: ?$|\n)"
+    return f"(?:^ ?|\n)({'|'.join(map(_words, known))})(?: ?$|\n)"
+
+
+def _by_sentence(sentences: Sequence[tuple[str, str]]) -> tuple[dict[str, str], dict[str, str]]:
+    """Codes by sentence, and by pattern for those that have slots."""
+    codes = {_plain(known): f"<{name}>" for name, known in sentences}
+    open_ = {f"^{_words(known, ' ', '.+')}$": code for known, code in codes.items() if "{}" in known}
+    return {known: code for known, code in codes.items() if "{}" not in known}, open_
 
 
 def sentence_codes(text: Column, sentences: Sequence[tuple[str, str]] = SENTENCES) -> Column:
@@ -154,9 +210,14 @@ def sentence_codes(text: Column, sentences: Sequence[tuple[str, str]] = SENTENCE
     for pattern, to in STEPS:
         clean = F.regexp_replace(clean, pattern, to)
     found = F.regexp_extract_all(clean, F.lit(_pattern(sentences)), F.lit(1))
-    names = {_plain(known): f"<{name}>" for name, known in sentences}
-    by_sentence = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    codes = F.array_join(F.transform(found, lambda s: F.element_at(by_sentence, F.replace(s, F.lit(BREAK), F.lit(" ")))), "")
+    whole, slotted = _by_sentence(sentences)
+    by_sentence = F.create_map(*[F.lit(x) for pair in whole.items() for x in pair])
+
+    def code(sentence: Column) -> Column:
+        one = F.replace(sentence, F.lit(BREAK), F.lit(" "))
+        return F.coalesce(F.try_element_at(by_sentence, one), *[F.when(one.rlike(pattern), F.lit(c)) for pattern, c in slotted.items()], F.lit(""))
+
+    codes = F.array_join(F.transform(found, code), "")
     return F.when(text.rlike(f"(?i){_triggers(sentences)}"), codes).otherwise(F.lit(""))
 
 
@@ -199,7 +260,9 @@ def _oracle() -> str:
     for pattern, to in STEPS:
         new = "chr(1)" if to == "\x01" else "chr(10) || chr(10)" if to == BREAK else sql(to)
         clean = f"regexp_replace({clean}, {sql(pattern)}, {new}, 'g')"
-    cases = " ".join(f"WHEN '{_plain(known)}' THEN '<{name}>'" for name, known in SENTENCES)
+    whole, slotted = _by_sentence(SENTENCES)
+    one = "replace(x, chr(10) || chr(10), ' ')"
+    cases = " ".join([f"WHEN {one} = '{known}' THEN '{code}'" for known, code in whole.items()] + [f"WHEN regexp_matches({one}, '{known}') THEN '{code}'" for known, code in slotted.items()])
     pattern = _pattern(SENTENCES).replace("\n", "\\n")
     left, hits = "codes", []
     for name, rule, is_open in RULES:
@@ -210,7 +273,7 @@ def _oracle() -> str:
     closed = " OR ".join(hit for _, is_open, hit in hits if not is_open)
     return f"""
 WITH c AS (SELECT doc_id, regexp_extract_all({clean}, '{pattern}', 1) AS s FROM documents),
-k AS (SELECT doc_id, coalesce(array_to_string(list_transform(s, lambda x: CASE replace(x, chr(10) || chr(10), ' ') {cases} ELSE '' END), ''), '') AS codes FROM c),
+k AS (SELECT doc_id, coalesce(array_to_string(list_transform(s, lambda x: CASE {cases} ELSE '' END), ''), '') AS codes FROM c),
 l AS (SELECT doc_id, codes, [{names}] AS hits, {closed} AS restricted FROM k)
 SELECT doc_id, codes AS sentence_codes, CAST(length(codes) - length(replace(codes, '<', '')) AS BIGINT) AS n_sentences,
        coalesce(array_to_string(list_filter([{order}], lambda x: list_contains(hits, x)), ','), '') AS licenses, restricted

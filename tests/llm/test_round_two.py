@@ -212,3 +212,41 @@ def test_a_list_of_many_hosts(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
     found = {r.page_id: r.verdict for r in url_filter.judge(pages, listed, rules=()).collect()}
     assert [found[i] for i in range(len(urls))] == ["block"] * 500 + ["allow"] * 1002
+
+
+GPL2 = "is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.\n"
+NOTICES = {
+    "BSD-3-Clause": BSD + """
+3. Neither the name of Foo Bar, Inc. nor the names of its contributors may
+   be used to endorse or promote products derived from this software without
+   specific prior written permission.
+""",
+    "BSD-2-Clause": BSD,
+    "GPL-2.0-only": "This program " + GPL2,
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+""",
+    "CC0-1.0": "To the extent possible under law, Jane Doe has waived all copyright and\nrelated or neighboring rights to The Example Corpus. This work is published from: Utopia.",
+    "MIT": "// SPDX-License-Identifier: MIT\nint main() {}\n",
+    "LGPL-3.0-or-later": "# SPDX-License-Identifier: LGPL-3.0-or-later",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "GPL-2.0-or-later": GPL.format(mark=";", after=";", n=2),
+    "": "Neither the name of the town nor the names of its rivers are known to me. SPDX-License-Identifier: ",
+}
+
+
+def test_licences_with_names(spark):
+    docs = spark.createDataFrame(list(enumerate(NOTICES.values())), "doc_id int, text string")
+    found = {r.doc_id: r.licenses for r in license_scan.scan(docs).collect()}
+    assert [found[i] for i in range(len(NOTICES))] == list(NOTICES)
+
+
+def test_slots_are_bounded(spark):
+    line = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    texts = [line.format(" ".join(["x"] * n)) for n in (1, 12, 13)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert [r.n_sentences for r in license_scan.scan(docs).orderBy("doc_id").collect()] == [1, 1, 0]
