@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import KITTI, Config
 from ..functions import geometry as g
 from ..functions.labels import is_foreground, node_class
+from ..functions.unions import unite
 
 MIN_POINTS = 10
 
@@ -35,25 +36,28 @@ def spherical_voxels(points: DataFrame, config: Config = KITTI) -> DataFrame:
 def _components(cells: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """The number of the least cell of each cell's component. Cells (row, column,
     range) touch if no index differs by more than one; columns go round. Of two
-    cells one must lie in a row of the grid; a cell beyond it touches nothing else."""
-    index = {tuple(c): i for i, c in enumerate(cells.tolist())}
-    parent = list(range(len(cells)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    for (row, column, rng), i in index.items():
-        if not 0 <= row < rows:
-            continue
-        for a, b, c in steps:
-            j = index.get((row + a, (column + b) % columns, rng + c))
-            if j is not None and (u := root(i)) != (v := root(j)):
-                parent[max(u, v)] = min(u, v)
-    return np.array([root(i) for i in range(len(cells))], dtype=np.int64)
+    cells one must lie in a row of the grid; a cell beyond it touches nothing else.
+    Cells are numbers, and neighbours are looked up for all of them at once, a step at
+    a time."""
+    if not len(cells):
+        return np.zeros(0, dtype=np.int64)
+    row, column, rng = (cells[:, i].astype(np.int64) for i in range(3))
+    low, width = rng.min() - 1, rng.max() - rng.min() + 3
+    lowest = row.min() - 1
+    code = lambda r, c, d: ((r - lowest) * columns + c) * width + d - low
+    own = code(row, column, rng)
+    order = np.argsort(own)
+    known = own[order]
+    inside = np.flatnonzero((row >= 0) & (row < rows))
+    root = np.arange(len(cells))
+    for a in (-1, 0, 1):
+        for b in (-1, 0, 1):
+            for c in (-1, 0, 1):
+                asked = code(row[inside] + a, (column[inside] + b) % columns, rng[inside] + c)
+                at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                met = known[at] == asked
+                root = unite(root, inside[met], order[at[met]])
+    return root
 
 
 def components(voxels: DataFrame, config: Config = KITTI) -> DataFrame:
