@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, spool
+from .common import documents, quoted, spool
 
 ROW_OVERHEAD = 16
 
@@ -25,10 +25,10 @@ ROW_OVERHEAD = 16
 def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, shard, slot."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     sizes = spool(
         docs.select(
-            F.col(id_col).alias("doc_id"),
+            F.col(quoted(id_col)).alias("doc_id"),
             (F.octet_length(text) + ROW_OVERHEAD).cast("bigint").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.monotonically_increasing_id().alias("rid"),

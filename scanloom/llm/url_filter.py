@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ascii_lower, split_by_keys, spool
+from .common import ascii_lower, quoted, split_by_keys, spool
 
 # Fixed values of the contract: (verdict, rule).
 RULES = (
@@ -108,8 +108,8 @@ class Cascade:
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict."""
-    host, path = host_and_path(F.col(url_col))
-    parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    host, path = host_and_path(F.col(quoted(url_col)))
+    parts = pages.select(F.col(quoted(id_col)).alias("page_id"), host.alias("host"), path.alias("path"))
     cascade = Cascade(listed_hosts(parts.select("host").distinct(), listed))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     by_list = F.when(cascade.contains(F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
