@@ -9,6 +9,8 @@ ICP_VOXEL, ICP_MAP, ICP_CAP, ICP_RADIUS, ICP_STEPS, ICP_STOP = 0.25, 1.0, 5, 0.5
 PLANE_DOWN, PLANE_VOXEL, PLANE_POINTS, PLANE_FLAT, PLANE_STEPS = 0.25, 1.0, 8, 0.005, 100
 NORMAL_LIMIT, PLANE_LIMIT, PLANE_D2 = 0.2, 0.5, 3.0
 INLIER_VOXEL, NO_LOSS = 0.2, 1e6
+#: So many points look for their nearest, or are moved by hypotheses, at a time.
+AT_ONCE = 8192
 
 
 def hat(v: np.ndarray) -> np.ndarray:
@@ -53,23 +55,31 @@ def log(pose: np.ndarray) -> np.ndarray:
 
 
 def fit_moments(mean_a: np.ndarray, mean_b: np.ndarray, cross: np.ndarray) -> np.ndarray:
-    """The rigid motion a -> b from means and centred cross-covariance sum(a b')."""
+    """The rigid motion a -> b from means and centred cross-covariance sum(a b'); of each
+    where there are several (n, 3), (n, 3), (n, 3, 3)."""
     u, _, vt = np.linalg.svd(cross)
-    sign = np.sign(np.linalg.det(vt.T @ u.T)) or 1.0
-    out = np.eye(4)
-    out[:3, :3] = vt.T @ np.diag([1, 1, sign]) @ u.T
-    out[:3, 3] = mean_b - out[:3, :3] @ mean_a
+    v, ut = np.swapaxes(vt, -1, -2), np.swapaxes(u, -1, -2)
+    sign = np.where(np.linalg.det(v @ ut) < 0, -1.0, 1.0)
+    mirror = np.ones((*sign.shape, 3))
+    mirror[..., 2] = sign
+    out = np.zeros((*sign.shape, 4, 4))
+    out[..., :3, :3] = (v * mirror[..., None, :]) @ ut
+    out[..., :3, 3] = mean_b - (out[..., :3, :3] @ mean_a[..., None])[..., 0]
+    out[..., 3, 3] = 1
     return out
 
 
 def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The rigid motion that takes a to b with the least squared error."""
-    mean_a, mean_b = a.mean(axis=0), b.mean(axis=0)
-    return fit_moments(mean_a, mean_b, (a - mean_a).T @ (b - mean_b))
+    """The rigid motion that takes a to b with the least squared error; of each where there
+    are several sets of points (n, points, 3)."""
+    mean_a, mean_b = a.mean(axis=-2), b.mean(axis=-2)
+    cross = np.swapaxes(a - mean_a[..., None, :], -1, -2) @ (b - mean_b[..., None, :])
+    return fit_moments(mean_a, mean_b, cross)
 
 
 def move(pose: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return points @ pose[:3, :3].T + pose[:3, 3]
+    """points after pose, or after each of several poses (n, 4, 4)."""
+    return points @ np.swapaxes(pose[..., :3, :3], -1, -2) + pose[..., None, :3, 3]
 
 
 def _voxels(points: np.ndarray, size: float) -> np.ndarray:
@@ -85,29 +95,58 @@ def downsample(points: np.ndarray, size: float) -> np.ndarray:
 
 
 class Grid:
-    """Points by voxel, up to cap in each, for nearest-neighbour search in 27 voxels."""
+    """Points by voxel, up to cap in each, for nearest-neighbour search in 27 voxels. Voxels
+    are numbers made of their places among the occupied ones of each axis, sorted."""
 
     def __init__(self, points: np.ndarray, size: float, cap: int | None = None):
-        self.points, self.size = points, size
-        self.cells: dict[tuple, list[int]] = {}
-        for i, key in enumerate(map(tuple, _voxels(points, size).tolist())):
-            own = self.cells.setdefault(key, [])
-            if cap is None or len(own) < cap:
-                own.append(i)
-        self.steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+        self.size = size
+        cells = _voxels(points, size)
+        self.axes = [np.unique(cells[:, i]) for i in range(3)]
+        codes = self._code([np.searchsorted(axis, cells[:, i]) for i, axis in enumerate(self.axes)])
+        order = np.argsort(codes, kind="stable")
+        self.codes, first, count = np.unique(codes[order], return_index=True, return_counts=True)
+        self.count = count if cap is None else np.minimum(count, cap)
+        self.first = first
+        self.points, self.order = points[order], order
+
+    def _code(self, places: list[np.ndarray]) -> np.ndarray:
+        x, y, z = places
+        return (x * len(self.axes[1]) + y) * len(self.axes[2]) + z
 
     def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index (-1: none) and squared distance of each query's nearest point."""
         best, d2 = np.full(len(queries), -1, dtype=np.int64), np.full(len(queries), np.inf)
-        groups: dict[tuple, list[int]] = {}
-        for i, key in enumerate(map(tuple, _voxels(queries, self.size).tolist())):
-            groups.setdefault(key, []).append(i)
-        for (x, y, z), asked in groups.items():
-            near = [i for a, b, c in self.steps for i in self.cells.get((x + a, y + b, z + c), ())]
-            if near:
-                gaps = ((queries[asked][:, None] - self.points[near][None]) ** 2).sum(axis=2)
-                at = gaps.argmin(axis=1)
-                best[asked], d2[asked] = np.asarray(near)[at], gaps[np.arange(len(asked)), at]
+        for start in range(0, len(queries) if len(self.codes) else 0, AT_ONCE):
+            some = slice(start, start + AT_ONCE)
+            best[some], d2[some] = self._nearest(queries[some])
+        return best, d2
+
+    def _nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best, d2 = np.full(len(queries), -1, dtype=np.int64), np.full(len(queries), np.inf)
+        wanted = _voxels(queries, self.size)[:, :, None] + np.array([-1, 0, 1])
+        places, there = [], []
+        for i, axis in enumerate(self.axes):
+            place = np.minimum(np.searchsorted(axis, wanted[:, i]), len(axis) - 1)
+            places.append(place)
+            there.append(axis[place] == wanted[:, i])
+        wide = lambda xyz: (xyz[0][:, :, None, None], xyz[1][:, None, :, None], xyz[2][:, None, None, :])
+        code = self._code(wide(places)).reshape(len(queries), 27)
+        x, y, z = wide(there)
+        cell = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        held = (x & y & z).reshape(len(queries), 27) & (self.codes[cell] == code)
+        count = np.where(held, self.count[cell], 0).ravel()
+        of_query = count.reshape(-1, 27).sum(axis=1)
+        asked = np.flatnonzero(of_query)
+        if not len(asked):
+            return best, d2
+        before = np.cumsum(count) - count
+        near = np.repeat(self.first[cell].ravel() - before, count) + np.arange(count.sum())
+        gaps = ((np.repeat(queries, of_query, axis=0) - self.points[near]) ** 2).sum(axis=1)
+        starts = (np.cumsum(of_query) - of_query)[asked]
+        least = np.minimum.reduceat(gaps, starts)
+        hit = np.flatnonzero(gaps == np.repeat(least, of_query[asked]))
+        first = hit[np.searchsorted(hit, starts)]  # of equally near ones the first
+        best[asked], d2[asked] = self.order[near[first]], least
         return best, d2
 
 
@@ -129,7 +168,8 @@ def icp(a: np.ndarray, b: np.ndarray, guess: np.ndarray) -> np.ndarray:
     """Point-to-point ICP of a onto b, from a first guess."""
     if not len(a) or not len(b):
         return guess
-    grid = Grid(downsample(b, ICP_VOXEL), ICP_MAP, ICP_CAP)
+    target = downsample(b, ICP_VOXEL)
+    grid = Grid(target, ICP_MAP, ICP_CAP)
     source = move(guess, downsample(a, ICP_VOXEL))
     total = np.eye(4)
     for _ in range(ICP_STEPS):
@@ -137,7 +177,7 @@ def icp(a: np.ndarray, b: np.ndarray, guess: np.ndarray) -> np.ndarray:
         met = d2 < ICP_RADIUS**2
         if met.sum() < 3:
             break
-        jtj, jtr = normal_equations(source[met], grid.points[index[met]])
+        jtj, jtr = normal_equations(source[met], target[index[met]])
         step = exp(-np.linalg.lstsq(jtj, jtr, rcond=None)[0])
         source, total = move(step, source), step @ total
         if np.linalg.norm(log(step)) < ICP_STOP:
@@ -214,32 +254,31 @@ def ransac(match_a: np.ndarray, match_b: np.ndarray, a: np.ndarray, b: np.ndarra
     """Pose, inliers and score exp(-mean distance). Inliers are nodes of a with a
     node of b in the 27 voxels around them, and enough of them end the search; with
     matched_within instead matched pairs nearer than that, over all steps. Samples are
-    of three matches, with replacement."""
-    rng = np.random.default_rng(seed)
-    grid = Grid(b, INLIER_VOXEL) if matched_within is None else None
+    of three matches, with replacement. Hypotheses are fitted and counted many at a time,
+    in the order of their draws, of which the first with the most inliers wins."""
     pose, most, loss = np.eye(4), 0, NO_LOSS
-    for _ in range(steps if len(match_a) else 0):
-        chosen = rng.integers(0, len(match_a), 3)
-        tried = fit(match_a[chosen], match_b[chosen])
+    if not len(match_a):
+        return pose, most, 0.0
+    chosen = np.random.default_rng(seed).integers(0, len(match_a), (steps, 3))
+    grid = Grid(b, INLIER_VOXEL) if matched_within is None else None
+    moved = a if matched_within is None else match_a
+    width, done = 8, 0  # few at first, as most searches end early
+    while done < steps:
+        own = chosen[done : done + width]
+        done += len(own)
+        tried = fit(match_a[own], match_b[own])
+        there = move(tried, moved)
         if grid is None:
-            gaps = np.linalg.norm(move(tried, match_a) - match_b, axis=1)
-            gaps = gaps[gaps < matched_within]
+            gaps = np.linalg.norm(there - match_b, axis=2)
+            met = gaps < matched_within
         else:
-            index, d2 = grid.nearest(move(tried, a))
-            gaps = np.sqrt(d2[index >= 0])
-        if len(gaps) > most:
-            pose, most, loss = tried, len(gaps), float(gaps.mean())
+            index, d2 = grid.nearest(there.reshape(-1, 3))
+            met, gaps = ((x.reshape(len(own), -1)) for x in (index >= 0, np.sqrt(d2)))
+        counts = met.sum(axis=1)
+        for i in np.flatnonzero(counts > np.maximum.accumulate(np.append(most, counts))[:-1]):
+            pose, most, loss = tried[i], int(counts[i]), float(gaps[i][met[i]].mean())
             if grid is not None and (most > 8 or (most > 2 and most > 0.5 * len(a))):
+                done = steps
                 break
+        width = min(4 * width, max(8, AT_ONCE // max(len(moved), 1)))
     return pose, most, float(np.exp(-loss)) if most >= 3 else 0.0
-
-
-def fit_score(a: np.ndarray, a_cls: np.ndarray, b: np.ndarray, b_cls: np.ndarray, pose: np.ndarray, limit: float = 0.2) -> float:
-    """Mean over a's nodes of the squared distance to the nearest node of b, where
-    that is of the same class and below limit (else 0)."""
-    if not len(a) or not len(b):
-        return 0.0
-    gaps = ((move(pose, a)[:, None] - b[None]) ** 2).sum(axis=2)
-    at = gaps.argmin(axis=1)
-    near = gaps[np.arange(len(a)), at]
-    return float(np.where((a_cls == b_cls[at]) & (near < limit), near, 0).sum() / len(a))

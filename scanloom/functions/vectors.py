@@ -17,10 +17,6 @@ def squared_norm(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def norm(a: Column) -> Column:
     """Length; a zero vector has the length sqrt(1e-11)."""
     squared = squared_norm(a)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KITTI, Config
+from ..functions.unions import unite
 from ..functions.vectors import cosine
 
-MAX_COST, FORBIDDEN = 0.5, 1e8
+MAX_COST = 0.5
 # Fewer matches are not pruned; tolerance of triangle sides.
 BYPASS, SIDE_LIMIT = 15, 0.25
 
@@ -78,19 +79,52 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def components(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each edge between node a[i] of one side and b[i] of the other (both counted from
+    0) the number of its connected component."""
+    n = int(a.max(initial=-1)) + 1
+    root = unite(np.arange(n + int(b.max(initial=-1)) + 1), a, n + b)
+    return np.unique(root[a], return_inverse=True)[1]
+
+
+def assign_edges(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The places of the edges of a matching that has as many edges as can be and, of those,
+    the least total cost. Components are solved one by one: stars at once, others by a
+    matrix of their own size, in which a missing edge costs more than all others together."""
+    if not len(a):
+        return np.zeros(0, dtype=np.int64)
+    part = components(a, b)
+    order = np.lexsort((b, a, cost, part))
+    ends = np.flatnonzero(np.diff(part[order], append=-1))
+    chosen, start = [], 0
+    for end in ends:
+        own = order[start : end + 1]
+        start = end + 1
+        rows, i = np.unique(a[own], return_inverse=True)
+        columns, j = np.unique(b[own], return_inverse=True)
+        if len(rows) == 1 or len(columns) == 1:
+            chosen.append(own[:1])
+            continue
+        edge = np.full((len(rows), len(columns)), -1, dtype=np.int64)
+        places, first = np.unique(i * len(columns) + j, return_index=True)
+        edge.flat[places] = own[first]  # of repeated edges the cheapest
+        table = np.full(edge.shape, 1.0 + min(edge.shape) * cost[own[-1]])
+        table[edge >= 0] = cost[edge[edge >= 0]]
+        found = assign(table)
+        picked = edge[np.flatnonzero(found >= 0), found[found >= 0]]
+        chosen.append(picked[picked >= 0])
+    return np.concatenate(chosen)
+
+
 def best_matches(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches of the least total cost for each pair of scans; pairs that
-    the gate leaves out cost FORBIDDEN and are dropped. A group is one pair of
-    scans, whose numbers of nodes a sensor bounds."""
+    """One-to-one matches of each pair of scans: as many as can be, and of those the least
+    total cost. Pairs of nodes that the gate leaves out are never matched. A group is the
+    gated node pairs of one pair of scans, whose numbers of nodes a sensor bounds."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, a = np.unique(pdf.a_node_id.to_numpy(), return_inverse=True)
-        columns, b = np.unique(pdf.b_node_id.to_numpy(), return_inverse=True)
-        cost = np.full((len(rows), len(columns)), FORBIDDEN)
-        cost[a, b] = pdf.cost.to_numpy()
-        found = assign(cost)
-        i = np.flatnonzero((found >= 0) & (cost[np.arange(len(rows)), found] < FORBIDDEN))
-        return pd.DataFrame({"pair_id": pdf.pair_id.iloc[0], "node_a": rows[i], "node_b": columns[found[i]], "cost": cost[i, found[i]]})
+        a, b = (np.unique(pdf[c].to_numpy(), return_inverse=True)[1] for c in ("a_node_id", "b_node_id"))
+        own = pdf.iloc[assign_edges(a, b, pdf.cost.to_numpy(dtype=np.float64))]
+        return pd.DataFrame({"pair_id": own.pair_id, "node_a": own.a_node_id, "node_b": own.b_node_id, "cost": own.cost})
 
     return pairs.groupBy("pair_id").applyInPandas(run, "pair_id bigint, node_a int, node_b int, cost double")
 

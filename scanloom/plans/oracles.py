@@ -253,6 +253,15 @@ FROM (SELECT max(coalesce(2 * precision * recall / nullif(precision + recall, 0)
     "cosine_pairs_gated": f"""SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.label, {_r("cost", "cost")}
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 25 + 1 = b.vec_id // 25,
   LATERAL (SELECT greatest(0.0, 1 - {_COSINE}) AS cost) WHERE cost <= 0.9""",
+    "assignment_totals": _with(
+        f"""edges AS (SELECT a.vec_id // 5 AS pair_id, a.vec_id % 5 AS r, 1 << CAST(b.vec_id % 5 AS INT) AS bit, 1 AS one, cost
+  FROM embeddings a JOIN embeddings b ON a.vec_id // 5 + 1 = b.vec_id // 5, LATERAL (SELECT round(1 - {_COSINE}, 6) AS cost) WHERE cost <= 1.0)""",
+        "choices AS (SELECT * FROM edges UNION ALL SELECT DISTINCT pair_id, u.r, 0, 0, 0.0 FROM edges, unnest(range(5)) AS u(r))",
+        """walk AS (SELECT DISTINCT pair_id, CAST(0 AS BIGINT) AS r, 0 AS used, 0 AS n, CAST(0 AS DOUBLE) AS total FROM edges
+  UNION ALL SELECT w.pair_id, w.r + 1, w.used | c.bit, w.n + c.one, w.total + c.cost FROM walk w JOIN choices c ON c.pair_id = w.pair_id AND c.r = w.r AND w.used & c.bit = 0)""",
+    )
+    + f"""SELECT pair_id, CAST(n AS BIGINT) AS n, {_r("total", "total")} FROM walk WHERE r = 5
+QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, total) = 1""",
     "l2_normalize": f"""WITH v AS (SELECT vec_id, list_concat(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x * 2 AS DOUBLE))) AS v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
 SELECT vec_id, CAST(i - 1 AS INT) AS slot, {_r("v[i] / CASE WHEN n = 0 THEN 1e-6 ELSE n END", "value")} FROM n, unnest(range(1, 129)) AS u(i)""",

@@ -17,6 +17,8 @@ from . import fixtures, loops
 from .store import by_scan, cut
 
 DIGITS = 6
+#: Of assignment_totals; about half of all pairs of vectors are within it.
+COST_LIMIT = 1.0
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -330,6 +332,17 @@ def hungarian_match(spark, sf_dir):
     return _rounded(found.select("pair_id", "node_a", "node_b", "cost", "n_triangles", "kept"))
 
 
+def assignment_totals(spark, sf_dir):
+    """Node pairs of each group of five vectors with the next five; of those at most COST_LIMIT
+    apart the numbers and total costs of the best assignments."""
+    scans = _scans(spark, sf_dir).withColumn("pair_id", F.floor(F.col("id") / 5))
+    a = scans.select("pair_id", F.col("id").alias("a_node_id"), F.col("vec").alias("va"))
+    b = scans.select((F.col("pair_id") - 1).alias("pair_id"), F.col("id").alias("b_node_id"), F.col("vec").alias("vb"))
+    cost = F.round(1.0 - vectors.cosine(F.col("va"), F.col("vb")), DIGITS)
+    gated = a.join(b, "pair_id").select("pair_id", F.col("a_node_id").cast("int"), F.col("b_node_id").cast("int"), cost.alias("cost")).where(F.col("cost") <= COST_LIMIT)
+    return _rounded(matching.best_matches(gated).groupBy("pair_id").agg(F.count("*").alias("n"), F.sum("cost").alias("total")))
+
+
 def ransac_pose(spark, sf_dir):
     table, pairs = _loop_tables(spark, sf_dir)
     found = loops.align_nodes(pairs, cut(loops.scan_nodes(table)), loops.RANSAC_DETECT)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from scanloom.functions import rigid
 from scanloom.operators.graphs import spectral
-from scanloom.operators.matching import assign
+from scanloom.operators.matching import assign, assign_edges
 
 
 def motion(rng, angle=0.5, shift=1.0):
@@ -75,7 +75,7 @@ def test_empty_clouds():
     assert np.array_equal(rigid.icp(none, none, np.eye(4)), np.eye(4))
     assert rigid.planes(none).shape == (0, 6)
     assert np.array_equal(rigid.plane_refine(np.zeros((0, 6)), np.zeros((0, 6)), np.eye(4)), np.eye(4))
-    assert rigid.fit_score(none, np.zeros(0), none, np.zeros(0), np.eye(4)) == 0
+    assert rigid.Grid(none, 1.0).nearest(np.ones((2, 3)))[0].tolist() == [-1, -1]
 
 
 def test_ransac_recovers_pose_among_outliers():
@@ -103,6 +103,54 @@ def test_ransac_inliers_are_of_the_nodes_given():
     assert many[1] > few[1] and many[1] > 6
 
 
+def one_at_a_time(match_a, match_b, a, b, steps, seed):
+    """The search by its definition: a hypothesis after the other, all pairs of nodes."""
+    draws, pose, most, loss = np.random.default_rng(seed), np.eye(4), 0, 0.0
+    for _ in range(steps):
+        own = draws.integers(0, len(match_a), 3)
+        tried = rigid.fit(match_a[own], match_b[own])
+        moved = rigid.move(tried, a)
+        apart = np.abs(np.trunc(moved / 0.2)[:, None] - np.trunc(b / 0.2)[None]).max(axis=2)
+        gaps = np.where(apart <= 1, np.linalg.norm(moved[:, None] - b[None], axis=2), np.inf).min(axis=1)
+        gaps = gaps[np.isfinite(gaps)]
+        if len(gaps) > most:
+            pose, most, loss = tried, len(gaps), gaps.mean()
+            if most > 8 or (most > 2 and most > 0.5 * len(a)):
+                break
+    return pose, most, np.exp(-loss) if most >= 3 else 0.0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_hypotheses_at_once_equal_one_at_a_time(seed):
+    rng = np.random.default_rng(seed)
+    a, pose = rng.uniform(-30, 30, (5 + 3 * seed, 3)), motion(rng, 0.3, 3.0)
+    b = rigid.move(pose, a) + rng.normal(0, 0.04, a.shape)
+    b[: len(b) // 2] += rng.uniform(3, 9, (len(b) // 2, 3))
+    pose, most, score = rigid.ransac(a, b, a, b, 100, seed)
+    want = one_at_a_time(a, b, a, b, 100, seed)
+    assert np.allclose(pose, want[0]) and most == want[1] and np.isclose(score, want[2])
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.integers(0, 60), st.integers(0, 40), st.integers(0, 10**6))
+def test_grid_equals_brute_force(n, m, seed):
+    rng = np.random.default_rng(seed)
+    held, asked = rng.uniform(-2, 2, (n, 3)).round(1), rng.uniform(-3, 3, (m, 3)).round(1)
+    index, d2 = rigid.Grid(held, 0.5).nearest(asked)
+    for q, i, gap in zip(asked, index, d2, strict=True):
+        near = np.abs(np.trunc(held / 0.5) - np.trunc(q / 0.5)).max(axis=1, initial=0) <= 1
+        if not near.any():
+            assert i == -1 and gap == np.inf
+        else:
+            assert near[i] and np.isclose(gap, ((held[near] - q) ** 2).sum(axis=1).min()) and np.isclose(((held[i] - q) ** 2).sum(), gap)
+
+
+def test_a_capped_grid_keeps_the_first_of_a_voxel():
+    held = np.array([[0.9, 0.9, 0.9], [0.1, 0.1, 0.1], [0.5, 0.5, 0.5]])
+    assert rigid.Grid(held, 1.0, 1).nearest(held)[0].tolist() == [0, 0, 0]
+    assert rigid.Grid(held, 1.0).nearest(held)[0].tolist() == [0, 1, 2]
+
+
 def test_normal_equations_equal_jacobian_sums():
     rng = np.random.default_rng(6)
     s, q = rng.normal(size=(7, 3)), rng.normal(size=(7, 3))
@@ -126,6 +174,26 @@ def test_assignment_equals_brute_force(n, m, seed):
     assert total == best
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.integers(0, 8), st.integers(0, 10**6))
+def test_edges_give_the_most_matches_of_the_least_cost(n, seed):
+    rng = np.random.default_rng(seed)
+    a, b, cost = rng.integers(0, 5, n), rng.integers(0, 5, n), rng.integers(0, 5, n) / 10  # some repeat
+    found = assign_edges(a, b, cost)
+    fits = lambda own: len(set(a[own])) == len(set(b[own])) == len(own)
+    every = (list(own) for size in range(n + 1) for own in itertools.combinations(range(n), size))
+    best = min((-len(own), round(cost[own].sum(), 6)) for own in every if fits(own))
+    assert fits(found) and (-len(found), round(cost[found].sum(), 6)) == best
+
+
+def test_many_small_components_take_no_matrix_of_all():
+    """100,000 nodes a side: a matrix of them would have 10^10 entries."""
+    n = 100_000
+    a, b = np.arange(n), np.arange(n)
+    found = assign_edges(np.append(a, a[::2]), np.append(b, b[::2] + 1), np.append(np.full(n, 0.2), np.full(n // 2, 0.1)))
+    assert len(found) == n
+
+
 def test_spectral_rows_sum_to_one():
     adjacency = (np.random.default_rng(7).random((6, 6)) < 0.5).astype(float)
     adjacency = np.maximum(adjacency, adjacency.T)
