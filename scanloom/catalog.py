@@ -12,7 +12,7 @@ NAMES = (
     "instance_edges class_counts node_edge_hist graph_edge_hist spectral_node_desc scan_descriptor polar_grid ring_occupancy grid_similarity "
     "triangle_pruning kabsch_moments kabsch_pose_error icp_normal_equations plane_moments rigid_transform rte_rre pose_success_rate "
     "pose_inverse alignment_fit_score size_gated_pairs hungarian_match assignment_totals ransac_pose ransac_matched_pose icp_pose plane_normals plane_pairs plane_icp_pose loop_similarity loop_pose "
-    "sequence_retrieval stream_retrieval"
+    "sequence_retrieval stream_retrieval stream_shuffled_retrieval"
 ).split()
 
 QUERIES = {name: getattr(q, name) for name in NAMES}

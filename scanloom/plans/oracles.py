@@ -232,6 +232,7 @@ ORACLES: dict[str, str] = {
     "knn_exclusion_topk": _with(_TOP) + "SELECT query_id, cand_id, d2, rk FROM top",
     "knn_padded_candidates": _with(_TOP, _PADDED) + "SELECT query_id, rk, cand_id, d2 FROM padded",
     "stream_retrieval": _with(_TOP, _PADDED) + "SELECT query_id, rk, cand_id, d2 FROM padded",
+    "stream_shuffled_retrieval": _with(_TOP, _PADDED) + "SELECT query_id, rk, cand_id, d2 FROM padded",
     "knn_top1_label_recall": _with(_TOP, _PADDED, _MARKED)
     + """SELECT n_queries, n_hits, round(n_hits / nullif(n_queries, 0), 6) AS recall, top_n FROM (
   SELECT CAST(k AS INT) AS top_n, count(DISTINCT query_id) AS n_queries, count(DISTINCT CASE WHEN is_true AND rk <= k THEN query_id END) AS n_hits

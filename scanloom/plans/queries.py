@@ -437,3 +437,19 @@ def stream_retrieval(spark, sf_dir):
     stream = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     answer_stream(stream, f"{folder}/table", f"{folder}/out", f"{folder}/checkpoint")
     return read_answers(spark, f"{folder}/out")
+
+
+def stream_shuffled_retrieval(spark, sf_dir):
+    """Descriptors arrive in four files whatever their ids, so that most queries wait for
+    late frames; equals knn_padded_candidates."""
+    from ..streaming import pending
+    from .store import shared_path
+
+    folder = f"{shared_path(spark)}/stream-{uuid.uuid4().hex}"
+    scans = _scans(spark, sf_dir)
+    for part in range(4):
+        scans.where(F.pmod(F.xxhash64("id"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    pending.keep_stream(stream, f"{folder}/table", f"{folder}/kept")
+    pending.answer_in_order(spark, f"{folder}/table", f"{folder}/out", f"{folder}/answered")
+    return pending.read_answers(spark, f"{folder}/out")
