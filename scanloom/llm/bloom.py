@@ -17,10 +17,10 @@ BITS_A_KEY = 16
 MAX_BITS = 1 << 27
 
 
-def pages_for(n_keys: int, bits_a_key: float = BITS_A_KEY, max_bits: int = MAX_BITS) -> int:
+def pages_for(n_keys: int, bits_a_key: float = BITS_A_KEY) -> int:
     """Pages of a filter for so many keys, a power of two."""
     pages = 1
-    while pages * PAGE_BITS < n_keys * bits_a_key and pages * PAGE_BITS < max_bits:
+    while pages * PAGE_BITS < n_keys * bits_a_key and pages * PAGE_BITS < MAX_BITS:
         pages *= 2
     return pages
 

@@ -46,7 +46,9 @@ def split_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         own = keys.where(F.col("part") == i).drop("part")
         repeated = spool(bloom.build_repeated(own, "digest", pages, PROBES), "repeated")
         maybe = bloom.maybe(repeated.scalar(), F.col("digest"), pages, PROBES)
-        found.append((own.where(~maybe), own.where(maybe)))
+        sides = (own.where(~maybe), own.where(maybe))
+        # One filter a plan: a part is written before the next one's filter is read.
+        found.append(sides if parts == 1 else tuple(spool(side, "split") for side in sides))
     alone, shared = (reduce(DataFrame.unionByName, x) for x in zip(*found, strict=True))
     return alone, shared, n
 

@@ -5,7 +5,10 @@ cascade of Bloom filters: level 1 holds the listed hosts, level 2 the corpus's
 other hosts that level 1 takes for listed, level 3 the listed hosts that level 2
 takes for those, and so on until a level has no false positive. Over the corpus's
 complete universe of hosts the answer is exact, and URLs are neither shuffled nor
-joined: only the distinct hosts are, once, to build the levels.
+joined: only the distinct hosts are, once, to build the levels. A level has at most
+bloom.MAX_BITS; where the listed hosts need more, hosts are dealt into parts by a hash,
+and each part is judged by a cascade of its own and written before the next one's turn,
+so that no plan holds more than one cascade.
 
 A null URL, or one without "://", has an empty host and path, fits no rule, and is
 looked up like any host (an empty host is allowed unless it is listed). Repeated
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,21 +79,38 @@ def listed_hosts(hosts: DataFrame, listed: DataFrame) -> DataFrame:
     return others.withColumn("listed", F.lit(False)).unionByName(confirmed)
 
 
+def counts(universe: DataFrame) -> tuple[int, int]:
+    """The numbers of its hosts and of the listed ones."""
+    return tuple(universe.agg(F.count("*"), F.count_if("listed")).first())
+
+
+def probes(n_held: int, n_other: int) -> int:
+    """Of the first level, which rejects most of a much larger other side."""
+    rate = min(0.5, n_held / (math.sqrt(2) * max(n_other, 1)))
+    return max(1, round(math.log2(1 / rate))) if n_held else 1
+
+
+def parts_for(n_all: int, n_in: int) -> int:
+    """Into how many parts hosts are dealt, so that a first level keeps its bits; later
+    levels hold fewer keys."""
+    bits = n_in * probes(n_in, n_all - n_in) / math.log(2)
+    return max(1, math.ceil(bits / bloom.MAX_BITS))
+
+
 class Cascade:
-    """Levels over a universe(host, listed) of distinct hosts."""
+    """Levels over a universe(host, listed) of distinct hosts; sizes: its counts(), if it is
+    spooled and they are known."""
 
-    def __init__(self, universe: DataFrame):
-        universe = spool(universe, "universe")
-        n_all, n_in = universe.agg(F.count("*"), F.count_if("listed")).first()
+    def __init__(self, universe: DataFrame, sizes: tuple[int, int] | None = None):
+        universe = spool(universe, "universe") if sizes is None else universe
+        n_all, n_in = sizes or counts(universe)
         self.levels: list[tuple[DataFrame, int, int]] = []
         held, other = (universe.where("listed").select("host"), universe.where("not listed").select("host"))
         n_held, n_other = n_in, n_all - n_in
         while n_held:
             if len(self.levels) == MAX_LEVELS:
-                raise RuntimeError("the filter cascade doesn't end; raise bloom.MAX_BITS")
-            # The first level rejects most of a much larger other side, later ones half of it.
-            rate = min(0.5, n_held / (math.sqrt(2) * max(n_other, 1))) if not self.levels else 0.5
-            k = max(1, round(math.log2(1 / rate)))
+                raise RuntimeError("the filter cascade doesn't end: deal the hosts into more parts")
+            k = 1 if self.levels else probes(n_held, n_other)  # later levels reject half
             pages = bloom.pages_for(n_held, bits_a_key=k / math.log(2))
             salt = 1 + len(self.levels)
             level = spool(bloom.build_from_keys(held, "host", pages, k, salt), "level")
@@ -109,11 +130,22 @@ class Cascade:
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict."""
     host, path = host_and_path(F.col(quoted(url_col)))
-    parts = pages.select(F.col(quoted(id_col)).alias("page_id"), host.alias("host"), path.alias("path"))
-    cascade = Cascade(listed_hosts(parts.select("host").distinct(), listed))
+    rows = pages.select(F.col(quoted(id_col)).alias("page_id"), host.alias("host"), path.alias("path"))
+    universe = spool(listed_hosts(rows.select("host").distinct(), listed), "universe")
+    sizes = counts(universe)
+    n_parts = parts_for(*sizes)
+    if n_parts == 1:
+        return _verdicts(rows, Cascade(universe, sizes), rules)
+    part = F.pmod(F.xxhash64(F.lit("part"), "host"), F.lit(n_parts)).cast("int")
+    rows, universe = (spool(x.withColumn("part", part), "parts", "part") for x in (rows, universe))
+    own = lambda x, i: x.where(F.col("part") == i).drop("part")
+    return reduce(DataFrame.unionByName, [spool(_verdicts(own(rows, i), Cascade(own(universe, i)), rules), "judged") for i in range(n_parts)])
+
+
+def _verdicts(rows: DataFrame, cascade: Cascade, rules: Sequence[tuple[str, str]]) -> DataFrame:
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     by_list = F.when(cascade.contains(F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
-    return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"))
 
 
 def op7_url_cascade(spark, sf_dir: str) -> DataFrame:
