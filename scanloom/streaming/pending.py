@@ -87,15 +87,16 @@ def answer_in_order(
 ) -> None:
     """Answers the queries of keep_stream()'s table whose candidates are all there, over all
     that is there now; the next call goes on where this one ended."""
-    own = spark.newSession()  # the store of the state is a setting of the session
+    own = spark.newSession()  # where the state is kept is a setting of the session
     own.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    own.conf.set("spark.sql.shuffle.partitions", "1")  # of ids alone; answers are made in the caller's session
     arrived = own.readStream.schema("id bigint, batch int").option("basePath", table).parquet(table).select("id", F.lit(0).alias("sequence"))
     ready = arrived.groupBy("sequence").transformWithStateInPandas(InOrder(exclusion, first), "id bigint", "Append", "None")
 
     def batch(ids: DataFrame, number: int) -> None:
         released = f"{out}/released/batch={number}"
         ids.write.mode("overwrite").parquet(released)  # the state is asked once
-        _answer(table, ids.sparkSession.read.schema("id bigint").parquet(released), f"{out}/answers/batch={number}", k, exclusion)
+        _answer(table, spark.read.schema("id bigint").parquet(released), f"{out}/answers/batch={number}", k, exclusion)
 
     ready.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
