@@ -11,7 +11,7 @@ NAMES = (
     "voxel_downsample_first voxel_cap5 neighbor27_nn tilt_correction cluster_components noise_clusters instance_boxes instance_boxes_checked "
     "instance_edges class_counts node_edge_hist graph_edge_hist spectral_node_desc scan_descriptor polar_grid ring_occupancy grid_similarity "
     "triangle_pruning kabsch_moments kabsch_pose_error icp_normal_equations plane_moments rigid_transform rte_rre pose_success_rate "
-    "pose_inverse alignment_fit_score size_gated_pairs hungarian_match assignment_totals ransac_pose ransac_matched_pose icp_pose plane_normals plane_pairs plane_icp_pose loop_similarity loop_pose "
+    "pose_inverse alignment_fit_score size_gated_pairs hungarian_match assignment_totals ransac_pose ransac_matched_pose icp_pose icp_rounds_pose plane_normals plane_pairs plane_icp_pose loop_similarity loop_pose "
     "sequence_retrieval stream_retrieval stream_shuffled_retrieval"
 ).split()
 

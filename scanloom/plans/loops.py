@@ -143,18 +143,19 @@ def pair_similarity(points: DataFrame, pairs: DataFrame, config: Config = KITTI,
     )
 
 
-def pair_poses(points: DataFrame, pairs: DataFrame, config: Config = KITTI) -> DataFrame:
+def pair_poses(points: DataFrame, pairs: DataFrame, config: Config = KITTI, icp=registration.icp_poses) -> DataFrame:
     """The pose a -> b of each pair: nodes, then ICP on foreground points, then planes
     of the background. Without instances: ICP on the background. With fewer than
-    three matches: the identity. Points are thinned, and planes fitted, once a scan."""
+    three matches: the identity. Points are thinned, and planes fitted, once a scan.
+    icp: joint_icp.icp_rounds for pairs of scans too large for one task each."""
     kept = Features(points, config, size_check=True)
     coarse = cut(align_nodes(pairs, kept.nodes, RANSAC_POSE, config))
     bare = (F.col("n_a") == 0) | (F.col("n_b") == 0)
     fitted, empty = coarse.where(~bare & (F.col("n_kept") >= 3)), coarse.where(bare)
     both = lambda some, table: (_side(some, table, "scan_a"), _side(some, table, "scan_b"))
-    fine = cut(registration.icp_poses(*both(fitted, kept.front), fitted))
+    fine = cut(icp(*both(fitted, kept.front), fitted))
     refined = registration.plane_poses(*both(fitted, kept.planes), fine)
-    flat = registration.icp_poses(*both(empty, kept.back), empty)
+    flat = icp(*both(empty, kept.back), empty).select("pair_id", "pose")
     same = F.array(*[F.lit(x) for x in IDENTITY])
     return pairs.join(refined.unionByName(flat), "pair_id", "left").select(*pairs.columns, F.coalesce("pose", same).alias("pose"))
 

@@ -314,6 +314,7 @@ WHERE abs(a.dx - b.dx) <= 2 AND abs(a.dy - b.dy) <= 2 AND abs(a.dz - b.dz) <= 2"
     "ransac_pose": _true_pairs(),
     "ransac_matched_pose": _true_pairs(),
     "icp_pose": _true_pairs(25),
+    "icp_rounds_pose": _true_pairs(25),
     "plane_icp_pose": _true_pairs(25),
     "plane_normals": _with(patches_sql(), *_planes()) + f"SELECT scan_id, vx, vy, vz, n, {', '.join(_r(f'{k}{c}', f'{k}{c}') for k in 'mn' for c in 'xyz')} FROM planes",
     "plane_pairs": _with(patches_sql(), *_planes()) + _plane_pairs(),

@@ -12,7 +12,7 @@ from ..config import KITTI
 from ..functions import geometry as g
 from ..functions import vectors
 from ..functions.labels import is_background, is_foreground
-from ..operators import background, clusters, evaluation, graphs, matching, metric_index, registration, retrieval, voxels
+from ..operators import background, clusters, evaluation, graphs, joint_icp, matching, metric_index, registration, retrieval, voxels
 from . import fixtures, loops
 from .store import by_scan, cut
 
@@ -371,6 +371,13 @@ def icp_pose(spark, sf_dir):
     return _close(registration.icp_poses(a, b, guess), spark, sf_dir, 0.05, 0.2, 25)
 
 
+def icp_rounds_pose(spark, sf_dir):
+    """icp_pose by rounds over all pairs at once; close holds for pairs that converged only."""
+    a, b, guess = _near_guess(spark, sf_dir)
+    found = joint_icp.icp_rounds(a, b, guess)
+    return _close(found.where("converged"), spark, sf_dir, 0.05, 0.2, 25)
+
+
 NEARLY_STILL = [math.cos(0.02), -math.sin(0.02), 0.0, 0.05, math.sin(0.02), math.cos(0.02), 0.0, -0.03, 0.0, 0.0, 1.0, 0.02]
 
 

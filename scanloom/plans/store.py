@@ -30,13 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path.toString())
 
 
-def by_scan(df: DataFrame, key: str = "scan_id", buckets: int | None = None) -> DataFrame:
-    """df, kept in the shared folder in buckets of key, in each of which it is sorted: a
-    join on key reads it where it lies, and only what it is joined with is exchanged."""
-    spark = df.sparkSession
+def by_scan(df: DataFrame, *keys: str, buckets: int | None = None) -> DataFrame:
+    """df, kept in the shared folder in buckets of keys (scan_id), in each of which it is
+    sorted: a join on them reads it where it lies, and only what it is joined with is
+    exchanged."""
+    spark, keys = df.sparkSession, keys or ("scan_id",)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"kept_{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_path(spark)}/{name}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path.toString()).saveAsTable(name)
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path.toString()).saveAsTable(name)
     return spark.table(name)
