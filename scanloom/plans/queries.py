@@ -19,6 +19,8 @@ from .store import by_scan, cut
 DIGITS = 6
 #: Of assignment_totals; about half of all pairs of vectors are within it.
 COST_LIMIT = 1.0
+#: Of knn_top1_label_recall.
+TOP_N = (1, 5, 20)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -49,34 +51,38 @@ def knn_pivot_topk(spark, sf_dir):
     return metric_index.search(metric_index.build(scans), scans).select("query_id", "cand_id", "d2", F.col("rk").cast("int"))
 
 
-def knn_padded_candidates(spark, sf_dir):
+def _padded(spark, sf_dir, k: int) -> DataFrame:
     scans = _scans(spark, sf_dir)
-    return retrieval.padded(retrieval.candidates(scans), scans).select("query_id", "rk", "cand_id", "d2")
+    return retrieval.padded(retrieval.candidates(scans, k), scans, k).select("query_id", "rk", "cand_id", "d2")
+
+
+def knn_padded_candidates(spark, sf_dir):
+    return _padded(spark, sf_dir, retrieval.K)
 
 
-def _marked(spark, sf_dir) -> DataFrame:
-    """Padded candidates; true ones have the query's label. A query has a true one
-    if its label occurs before the exclusion window."""
+def _marked(spark, sf_dir, k: int) -> DataFrame:
+    """The first k padded candidates; true ones have the query's label. A query has a true
+    one if its label occurs before the exclusion window."""
     labels = fixtures.embeddings(spark, sf_dir).select("vec_id", "label")
     first = labels.groupBy("label").agg(F.min("vec_id").alias("first_id"))
     queries = labels.join(first, "label").select(
         F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), (F.col("first_id") < F.col("vec_id") - retrieval.EXCLUSION).alias("has_truth")
     )
-    found = knn_padded_candidates(spark, sf_dir).join(labels.select(F.col("vec_id").alias("cand_id"), F.col("label").alias("c_label")), "cand_id", "left")
+    found = _padded(spark, sf_dir, k).join(labels.select(F.col("vec_id").alias("cand_id"), F.col("label").alias("c_label")), "cand_id", "left")
     same = F.coalesce(F.col("q_label") == F.col("c_label"), F.lit(False))
     return found.join(queries, "query_id").select("query_id", "rk", "cand_id", "d2", "has_truth", same.alias("is_true"))
 
 
 def knn_top1_label_recall(spark, sf_dir):
-    marked = cut(_marked(spark, sf_dir))
+    marked = cut(_marked(spark, sf_dir, max(TOP_N)))
     asked = marked.where("has_truth AND rk = 1").select("query_id")
-    parts = [evaluation.recall_at(marked, asked, n).withColumn("top_n", F.lit(n)) for n in (1, 5, 20)]
+    parts = [evaluation.recall_at(marked, asked, n).withColumn("top_n", F.lit(n)) for n in TOP_N]
     return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 def _top1(spark, sf_dir) -> DataFrame:
     last = fixtures.embeddings(spark, sf_dir).agg(F.max("vec_id")).scalar()
-    return _marked(spark, sf_dir).where((F.col("rk") == 1) & (F.col("query_id") >= evaluation.FIRST_FRAME) & (F.col("query_id") < last))
+    return _marked(spark, sf_dir, 1).where((F.col("query_id") >= evaluation.FIRST_FRAME) & (F.col("query_id") < last))
 
 
 def pr_threshold_sweep(spark, sf_dir):
