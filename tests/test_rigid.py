@@ -200,3 +200,13 @@ def test_spectral_rows_sum_to_one():
     np.fill_diagonal(adjacency, 1)
     found = spectral(adjacency, 30)
     assert found.shape == (6, 30) and np.allclose(found.sum(axis=1), 1) and (found[:, 6:] == 0).all()
+
+
+def test_pairs_of_two_objects_do_not_draw_the_pose():
+    dice = np.random.default_rng(8)
+    centres, normals = dice.normal(size=(40, 3)) * 20, dice.normal(size=(40, 3))
+    normals /= np.linalg.norm(normals, axis=1)[:, None]
+    pose = rigid.exp(np.array([0.15, -0.1, 0.05, 0.003, -0.003, 0.006]))
+    a, b = np.hstack([centres, normals]), np.hstack([rigid.move(pose, centres), normals @ pose[:3, :3].T])
+    b[:5, :3] += 0.4 * b[:5, 3:]  # planes of something else nearby
+    assert np.allclose(rigid.refine_pairs(a, b, np.eye(4)), pose, atol=1e-6)
