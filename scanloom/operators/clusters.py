@@ -11,6 +11,7 @@ from ..config import KITTI, Config
 from ..functions import geometry as g
 from ..functions.labels import is_foreground, node_class
 from ..functions.unions import unite
+from ..plans.store import cut, dealt
 
 MIN_POINTS = 10
 
@@ -77,7 +78,7 @@ def components(voxels: DataFrame, config: Config = KITTI) -> DataFrame:
 
     schema = "scan_id bigint, label int, vrow int, vcol int, vrng int, component bigint"
     narrow = voxels.select(F.col("scan_id").cast("bigint"), F.col("label").cast("int"), "vrow", "vcol", "vrng").distinct()
-    return narrow.groupBy("scan_id", "label").applyInPandas(run, schema)
+    return dealt(cut(narrow), "scan_id", "label").groupBy("scan_id", "label").applyInPandas(run, schema)
 
 
 def clusters(points: DataFrame, config: Config = KITTI) -> DataFrame:

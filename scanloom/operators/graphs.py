@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import KITTI, Config
 from ..functions.vectors import TINY
+from ..plans.store import dealt
 
 # Class pairs of the blocks of the graph descriptor, in order.
 BLOCKS = ((1, 1), (2, 2), (3, 3), (2, 3), (1, 2), (1, 3))
@@ -94,4 +95,4 @@ def node_descriptors(instances: DataFrame, config: Config = KITTI) -> DataFrame:
 
     schema = "scan_id bigint, node_id int, cls int, cx double, cy double, cz double, dx double, dy double, dz double, n bigint, desc array<double>"
     columns = [x.split()[0] for x in schema.split(", ")]
-    return instances.select(*columns[:-1]).groupBy("scan_id").applyInPandas(lambda pdf: run(pdf)[columns], schema)
+    return dealt(instances.select(*columns[:-1]), "scan_id").groupBy("scan_id").applyInPandas(lambda pdf: run(pdf)[columns], schema)

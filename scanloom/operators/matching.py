@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import KITTI, Config
 from ..functions.unions import unite
 from ..functions.vectors import cosine
+from ..plans.store import dealt
 
 MAX_COST = 0.5
 # Fewer matches are not pruned; tolerance of triangle sides.
@@ -126,7 +127,7 @@ def best_matches(pairs: DataFrame) -> DataFrame:
         own = pdf.iloc[assign_edges(a, b, pdf.cost.to_numpy(dtype=np.float64))]
         return pd.DataFrame({"pair_id": own.pair_id, "node_a": own.a_node_id, "node_b": own.b_node_id, "cost": own.cost})
 
-    return pairs.groupBy("pair_id").applyInPandas(run, "pair_id bigint, node_a int, node_b int, cost double")
+    return dealt(pairs, "pair_id").groupBy("pair_id").applyInPandas(run, "pair_id bigint, node_a int, node_b int, cost double")
 
 
 def triangles(nodes: DataFrame, centres: DataFrame, limit: float) -> DataFrame:

@@ -30,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path.toString())
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys in as many parts as the session shuffles to. For groups that go to Python:
+    they cost far more than their few bytes, for which adaptive execution would pack them
+    into one task. What lies in one part already by the keys is left there: cut() it first."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def by_scan(df: DataFrame, *keys: str, buckets: int | None = None) -> DataFrame:
     """df, kept in the shared folder in buckets of keys (scan_id), in each of which it is
     sorted: a join on them reads it where it lies, and only what it is joined with is

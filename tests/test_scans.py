@@ -8,7 +8,7 @@ from scanloom import config
 from scanloom.functions import geometry as g
 from scanloom.functions import labels, vectors
 from scanloom.operators import background, clusters, evaluation, graphs, matching, retrieval
-from scanloom.plans import loops
+from scanloom.plans import fixtures, loops
 from scanloom.sources import scans, sinks
 
 
@@ -233,3 +233,11 @@ def test_graph_descriptor_ignores_yaw(spark):
         return {x.slot: round(x.value, 9) for x in graphs.graph_histograms(graphs.links(nodes), graphs.class_counts(nodes)).collect()}
 
     assert slots(rows) == slots(turned)
+
+
+def test_groups_of_few_bytes_are_dealt_to_tasks(spark, small):
+    """Components cost far more than their bytes: adaptive execution mustn't pack them into one task."""
+    cells = clusters.components(clusters.spherical_voxels(fixtures.points(spark, small)))
+    cells.collect()
+    plan = cells._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInPandas")[1]
+    assert "AQEShuffleRead" not in plan.split("Exchange")[0] and "REPARTITION_BY_NUM" in plan
