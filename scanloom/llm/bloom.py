@@ -66,3 +66,32 @@ def maybe(filter_pages: Column, key: Column, pages: int, k: int, salt: int = 0)
     for pos in positions(key, pages, k, salt):
         found = found & _bit(filter_pages, pos)
     return found
+
+
+#: Bits of a window: six bytes, so that its number is a positive bigint.
+WINDOW_BITS = 48
+
+
+def _window(key: Column, pages: int) -> tuple[Column, Column, list[Column]]:
+    """The page and first byte of a key's window, and its four bits, 0 the lowest of the last byte."""
+    place, bits = (F.xxhash64(F.lit(2000 + i), key) for i in (0, 1))
+    first = F.pmod(F.shiftright(place, 32), F.lit((PAGE_BITS - WINDOW_BITS) // 8 + 1)).cast("int")
+    return F.pmod(place, F.lit(pages)).cast("int"), first, [F.pmod(F.shiftright(bits, 16 * i), F.lit(WINDOW_BITS)).cast("int") for i in range(4)]
+
+
+def build_windows(keys: DataFrame, key: str, pages: int) -> DataFrame:
+    """A filter in which a key sets bits of one window only, so that a probe names the
+    filter once: what a plan's tasks are sent holds the pages once for each time."""
+    page, first, bits = _window(F.col(key), pages)
+    start = page.cast("bigint") * PAGE_BITS + 8 * first + WINDOW_BITS - 8
+    return build(keys.select(F.explode(F.array(*(start - 8 * F.floor(b / 8) + b % 8 for b in bits))).alias("pos")), pages)
+
+
+def maybe_window(filter_pages: Column, key: Column, pages: int) -> Column:
+    """Whether a filter of build_windows() may hold the key; false is certain."""
+    page, first, bits = _window(key, pages)
+    word = F.conv(F.hex(F.substring(F.get(filter_pages, page), first + 1, F.lit(WINDOW_BITS // 8))), 16, 10).cast("bigint")
+    mask = F.lit(0).cast("bigint")
+    for b in bits:
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b))
+    return F.bitwise_not(word).bitwiseAND(mask) == 0

@@ -302,7 +302,9 @@ def open_members(met: DataFrame, known: DataFrame, n_met: int) -> DataFrame:
     rooted = sized.select("token", "fp").join(shuffled(known.select("fp", "root")), "fp")
     groups = rooted.groupBy("token").agg(F.count("*").alias("group_size"), F.min("root").alias("least"), F.max("root").alias("most"))
     mixed = spool(groups.where("least < most").select("token", "group_size"), "mixed")
-    return join_groups(split_by_keys(sized, "token", mixed, "token")[1], mixed, "token", 2 * n_met)
+    # written, as its filter would go to the tasks of both sides of the join
+    asked = spool(split_by_keys(sized, "token", mixed, "token")[1], "open")
+    return join_groups(asked, mixed, "token", 2 * n_met)
 
 
 def links(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from scanloom.llm import (
     bloom,
     catalog,
+    common,
     components,
     exact_dedup,
     language_model,
@@ -98,6 +99,22 @@ def test_bloom_filter_never_misses(spark):
     assert bloom.pages_for(10**12) * bloom.PAGE_BITS == bloom.MAX_BITS
 
 
+def test_filter_of_windows_never_misses(spark):
+    keys = spark.range(50000).withColumn("key", F.concat(F.lit("k"), F.col("id")))
+    pages = bloom.pages_for(25000)
+    built = bloom.build_windows(keys.where("id < 25000"), "key", pages)
+    found = keys.where(bloom.maybe_window(built.scalar(), F.col("key"), pages)).agg(F.count("*"), F.count_if(F.col("id") < 25000)).first()
+    assert found[1] == 25000 and found[0] < 25800
+
+
+def test_keys_filter_goes_to_the_tasks_once(spark):
+    """A plan's tasks are sent the filter as often as the plan names it."""
+    keys = spark.range(1000).withColumnRenamed("id", "key")
+    for part in common.split_by_keys(spark.range(3000), "id", keys, "key"):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("scalar-subquery#") <= 2  # the filter's name and its subquery below
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
@@ -117,6 +134,31 @@ def test_components(spark, seed):
     assert {x: found.get(x, x) for x in linked} == {x: root(x) for x in linked}
 
 
+@pytest.mark.parametrize("part", [1, 8, 50])
+def test_components_of_many_parts(spark, monkeypatch, part):
+    """Parts of links that are held by several tasks, or by one after another."""
+    rng = random.Random(part)
+    chain = rng.sample(range(200), 60)
+    edges = [*zip(chain, chain[1:], strict=False), *((300, 300 + i) for i in range(60)), (5, 5)]
+    monkeypatch.setattr(components, "PART", part)
+    links = spark.createDataFrame(rng.sample(edges, len(edges)), "a bigint, b bigint")
+    found = sorted(tuple(r) for r in components.components(links.repartition(5)).collect())
+    assert found == sorted([(x, min(chain)) for x in chain if x > min(chain)] + [(300 + i, 300) for i in range(1, 60)])
+
+
+def test_components_take_few_jobs(spark):
+    """A graph that a task can hold takes no rounds, which fill the driver's memory."""
+    sc = spark.sparkContext
+    sc.setJobGroup("few-jobs", "components")
+    try:
+        found = components.components(spark.range(500).selectExpr("id AS a", "id + 1 AS b"))
+        assert found.where("root = 0").count() == 500
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            sc.setLocalProperty(name, None)
+    assert len(sc.statusTracker().getJobIdsForGroup("few-jobs")) <= 8
+
+
 def test_no_links(spark):
     assert components.components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).count() == 0
 
