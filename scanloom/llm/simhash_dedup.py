@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, documents_kept, join_groups, least_of_components, quoted, spool
+from .common import documents, documents_kept, join_groups, least_of_components, quoted, shuffled, spool
 from .components import components
 
 SHINGLE = 3
@@ -107,7 +107,8 @@ def links(nodes: DataFrame, width: int | None = None) -> DataFrame:
     left = near.select(F.col("fp").alias("a"), "half", "cell")
     right = near.select(F.col("fp").alias("b"), "half", F.explode(_cells_around(F.col("cell"), width)).alias("cell"))
     within = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    pairs = left.join(right, ["half", "cell"]).where((F.col("a") < F.col("b")) & within)
+    # Spark takes the exploded cells for as few as the nodes, and would broadcast them
+    pairs = left.join(shuffled(right), ["half", "cell"]).where((F.col("a") < F.col("b")) & within)
     return pairs.select("a", "b")
 
 
@@ -120,8 +121,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple
     roots = components(found)
     ends = found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     classes = (
-        nodes.join(ends, "fp", "left")
-        .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+        nodes.join(shuffled(ends), "fp", "left")
+        .join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left")
         .withColumns({"n_links": F.coalesce("n_links", F.lit(0)).cast("bigint"), "root": F.coalesce("root", "fp")})
     )
     return prints, spool(least_of_components(classes), "classes")
@@ -131,7 +132,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, fp, n_links (other fingerprints linked to its
     own) and component_id, the least id of its component."""
     prints, classes = _classes(docs, id_col, text_col, shingle)
-    return join_groups(prints, classes, "fp", prints.count()).select("doc_id", "fp", "n_links", "component_id")
+    return join_groups(prints, classes, "fp", prints.count(), many=True).select("doc_id", "fp", "n_links", "component_id")
 
 
 def _signed(text: str | None) -> int:
