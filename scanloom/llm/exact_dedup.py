@@ -88,11 +88,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows pass, and only the rest is hashed again and shuffled."""
     _, shared, n = split_keys(docs, id_col, text_col)
     groups = find_groups(shared)
-    members = join_groups(shared, groups.where("group_size > 1"), "digest", n)
+    members = join_groups(shared, groups.where("group_size > 1"), "digest", n, many=True)
     going = spool(members.where(F.col("tied") | (F.col("rid") != F.col("keep.rid"))).select("doc_id").distinct(), "going")
     stay, asked = split_by_keys(docs, id_col, going, "doc_id")
     packed = asked.select(digest(F.col(quoted(text_col))).alias("digest"), whole_row(docs).alias("row"))
-    best = join_groups(packed, groups, "digest", n, "left").where(F.col("keep").isNull() | F.col("row")[id_col].eqNullSafe(F.col("keep.doc_id")))
+    best = join_groups(packed, groups, "digest", n, "left", many=True).where(F.col("keep").isNull() | F.col("row")[id_col].eqNullSafe(F.col("keep.doc_id")))
     tied = F.coalesce(F.col("tied"), F.lit(False))
     once = best.where(~tied).unionByName(best.where(tied).dropDuplicates(["digest"]))
     return stay.unionByName(once.select("row.*"))

@@ -304,7 +304,7 @@ def open_members(met: DataFrame, known: DataFrame, n_met: int) -> DataFrame:
     mixed = spool(groups.where("least < most").select("token", "group_size"), "mixed")
     # written, as its filter would go to the tasks of both sides of the join
     asked = spool(split_by_keys(sized, "token", mixed, "token")[1], "open")
-    return join_groups(asked, mixed, "token", 2 * n_met)
+    return join_groups(asked, mixed, "token", 2 * n_met, many=True)
 
 
 def links(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def links(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     # a hub of its own for each shingle, so that a document meets several others of its group
     member = F.struct("n", "pos", "fp", "coarse")
     hubs = met.groupBy("token").agg(F.min_by(member, F.struct(F.xxhash64("fp", "token"), "fp")).alias("x"), F.count("*").alias("group_size"))
-    both = join_groups(met, hubs.where("group_size > 1"), "token", n_met).where(F.col("x.fp") != F.col("fp")).withColumn("y", member)
+    both = join_groups(met, hubs.where("group_size > 1"), "token", n_met, many=True).where(F.col("x.fp") != F.col("fp")).withColumn("y", member)
     both = both.where(_may_link(F.col("x"), F.col("y")))
     both = both.select(*_pairs(F.col("x"), F.col("y")), (F.col("x.n") + F.col("y.n")).alias("n"), F.col("x.coarse").alias("x"), F.col("y.coarse").alias("y"))
     first = both.mapInArrow(lambda batches: _not_far(batches, COARSE), "a bigint, b bigint")
