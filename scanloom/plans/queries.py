@@ -415,8 +415,13 @@ def plane_pairs(spark, sf_dir):
 
 def plane_icp_pose(spark, sf_dir):
     """Whether refinement by planes comes within 0.02 m and 0.1 degrees of the truth, from
-    guesses that are 0.15 m and 0.34 degrees off."""
-    return _close(registration.plane_poses(*_planes_and_guesses(spark, sf_dir)), spark, sf_dir, 0.02, 0.1, 25)
+    guesses that are 0.15 m and 0.34 degrees off; refinement by points where a scan has too
+    few planes to settle a pose."""
+    table = fixtures.patches(spark, sf_dir)
+    moved = fixtures.copies(table, fixtures.near_poses(spark, sf_dir))
+    of_pair = lambda side, first: side.withColumn("pair_id", (F.col("scan_id") - first) * 2)
+    points = of_pair(table, 0), of_pair(moved, fixtures.COPY)
+    return _close(registration.plane_poses(*_planes_and_guesses(spark, sf_dir), points), spark, sf_dir, 0.02, 0.1, 25)
 
 
 def loop_similarity(spark, sf_dir):
